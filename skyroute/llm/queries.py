@@ -6,19 +6,37 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skyroute.llm.decontaminate import contamination
 from skyroute.llm.jaccard_join import jaccard_join
 from skyroute.llm.tables import table
+from skyroute.llm.url_filter import url_filter, url_filter_sql
+from skyroute.llm.warc import archived_pages
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(table(spark, sf_dir, "pages"))
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived_pages(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op3_url_filter": op3_url_filter,
+        "op6_decontaminate": op6_decontaminate,
+        "op7_warc": op7_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": url_filter_sql()}
