@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skyroute.llm.decontaminate import contamination
 from skyroute.llm.jaccard_join import jaccard_join
+from skyroute.llm.substring_dedup import remove_repeats
 from skyroute.llm.tables import table
 from skyroute.llm.url_filter import url_filter, url_filter_sql
 from skyroute.llm.warc import archived_pages
@@ -17,6 +18,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"))
 
@@ -32,6 +37,7 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
+        "op2_substring_dedup": op2_substring_dedup,
         "op3_url_filter": op3_url_filter,
         "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,

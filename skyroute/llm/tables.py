@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -25,8 +26,31 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage; unlike executor-local storage, the files outlive any executor.
+    The shuffle files of the step are of no use then.  Spark drops them once the driver has collected the
+    garbage that refers to them, which is asked for here, so that disks hold one step's shuffles and not all.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skyroute/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
+
+
+def packed(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """The table with its text column compressed, for a shuffle of whole texts; ``words.unpacked`` restores it."""
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text_col else f.dataType) for f in texts.schema])
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            values = batch.column(at).cast(pa.binary())
+            yield batch.set_column(at, text_col, pa.array([None if v is None else pack(v) for v in (x.as_buffer() for x in values)], pa.binary()))
+
+    return texts.mapInArrow(run, schema)

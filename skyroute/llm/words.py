@@ -131,3 +131,19 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         to = min(to, len(batch))
         yield batch.slice(at, to - at)
         at = to
+
+
+def unpacked(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose ``column`` was compressed by ``tables.packed``, with about ``limit`` bytes of text each."""
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    at, texts, size, done = batch.schema.get_field_index(column), [], 0, 0
+    values = batch.column(at)
+    for i in range(len(batch)):
+        value = values[i].as_buffer()
+        texts.append(None if value is None else unpack(value))
+        size += len(texts[-1] or b"")
+        if size >= limit or i == len(batch) - 1:
+            yield batch.slice(done, i + 1 - done).set_column(at, column, pa.array(texts, pa.large_binary()))
+            done, texts, size = i + 1, [], 0
