@@ -30,7 +30,7 @@ from skyroute.llm.tables import shared_folder, staged
 ARCHIVE_BYTES = 1 << 30
 #: Bytes of archive in one range of the reader.
 SPLIT_BYTES = 8 << 20
-_READ = 1 << 18
+_READ, _PIECE = 1 << 18, 1 << 14
 _MAGIC = b"\x1f\x8b\x08"
 _HEAD = b"WARC/1."
 _ID = "urn:x-page:"
@@ -124,7 +124,7 @@ def _member(source: _Source, offset: int) -> tuple[bytes, int] | None:
     unpack, out, at = zlib.decompressobj(31), [], offset
     try:
         while not unpack.eof:
-            piece = source.at(at, _READ)
+            piece = source.at(at, _PIECE)
             if not piece:
                 return None
             out.append(unpack.decompress(piece))

@@ -72,11 +72,18 @@ class Words:
     ends: np.ndarray  # one past the last byte of each word
     hashes: np.ndarray  # uint64 for each word
     first: np.ndarray  # index of the first word of each document, and the number of words at the end
+    bounds: np.ndarray  # first byte of each document, and the number of bytes at the end
+    sums: np.ndarray  # prefix sums of the polynomial
 
     @property
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
 
+    def prefix_hashes(self, n: int) -> np.ndarray:
+        """Hash of the first n bytes of each word (of all of a shorter one)."""
+        ends = np.minimum(self.ends, self.starts + n)
+        return mix((self.sums[ends] - self.sums[self.starts]) * _power(_BASE_INVERSE, len(self.sums))[self.starts] + _U(n))
+
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
@@ -105,7 +112,7 @@ def split(values: pa.Array, separator: np.ndarray = WHITE_SPACE, lower: bool = F
     sums = np.zeros(n, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * _power(_BASE, n)[: n - 1], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets), offsets, sums)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
