@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from skyroute.llm import words as W
 from skyroute.llm.components import connected_components
-from skyroute.llm.tables import staged
+from skyroute.llm.tables import packed, staged
 
 SHINGLE = 5
 #: Similarity from which two sets link, in hundredths.
@@ -70,13 +70,13 @@ def _need(n: np.ndarray | int, percent: int):
     return -(-n * percent // 100)
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, whole: bool) -> DataFrame:
+def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, whole: bool, is_packed: bool = False) -> DataFrame:
     """(id, n, d1, d2, tokens): set size, a 128-bit digest of the set, and its tokens or the extended prefix."""
     import hashlib
 
     def run(batches):
         for batch in batches:
-            for chunk in W.chunks(batch, "text"):
+            for chunk in W.unpacked(batch, "text") if is_packed else W.chunks(batch, "text"):
                 words = W.split(chunk.column(1), lower=True)
                 sizes, digests, kept = [], [], []
                 for found in shingle_sets(words, k):
@@ -90,7 +90,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, who
                     names=["id", "n", "d1", "d2", "tokens"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
         run, "id long, n long, d1 long, d2 long, tokens array<long>"
     )
 
@@ -194,23 +194,26 @@ def jaccard_join(
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
     prefixes = staged(_sets(docs, "id", "text", k, percent, whole=False), "prefixes")
     key = ["d1", "d2", "n"]
-    merged = staged(
-        prefixes.where("n > 0").groupBy(*key).agg(F.min(F.struct("id", "tokens")).alias("r")).select("r.id", "n", "d1", "d2", "r.tokens"),
-        "representatives",
+    merged = prefixes.where("n > 0").groupBy(*key).agg(F.min("id").alias("id"))
+
+    # 2. documents with enough shingles that occur elsewhere; both sides of the join read one shuffle
+    rows = (
+        prefixes.where("n > 1")  # sets of one shingle only link with equal ones
+        .groupBy(*key)
+        .agg(F.min(F.struct("id", "tokens")).alias("r"))
+        .select("r.id", F.explode("r.tokens").alias("token"))
     )
-
-    # 2. documents with enough shingles that occur elsewhere
-    rows = merged.select("id", "n", F.explode("tokens").alias("token"))
-    elsewhere = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1").select("token")
     need = (
-        rows.join(elsewhere, "token", "left_semi")
-        .groupBy("id", "n")
+        rows.alias("l")
+        .join(rows.alias("r"), (F.col("l.token") == F.col("r.token")) & (F.col("l.id") != F.col("r.id")), "left_semi")
+        .groupBy("id")
         .count()
+        .join(prefixes.select("id", "n"), "id")
         .where(F.col("count") >= F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) / 20)))  # ell of the smallest partner
-        .where("n > 1")  # sets of one shingle only link with equal ones
         .select("id")
     )
-    full = staged(_sets(docs.join(need, "id", "left_semi"), "id", "text", k, percent, whole=True).select("id", "n", "tokens"), "sets")
+    kept = packed(docs).join(need, "id", "left_semi")
+    full = staged(_sets(kept, "id", "text", k, percent, whole=True, is_packed=True).select("id", "n", "tokens"), "sets")
 
     # 3. frequencies and effective sizes
     rows = full.select("id", "n", F.explode("tokens").alias("token"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,14 +27,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back.
 
     This cuts the lineage; unlike executor-local storage, the files outlive any executor.
-    The shuffle files of the step are of no use then.  Spark drops them once the driver has collected the
-    garbage that refers to them, which is asked for here, so that disks hold one step's shuffles and not all.
+    Spark is told to delete the shuffle files of the step at its end, so that disks hold one step's shuffles and not all.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/skyroute/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
