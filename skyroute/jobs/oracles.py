@@ -62,7 +62,7 @@ PIXELS = """pixels AS (
               WHEN o_orderpriority = '3-MEDIUM' THEN 'vegetation' ELSE 'background' END colour FROM orders
 )"""
 CHIP_LABELS = """chips AS (
-  SELECT lang dataset, source || '-' || lpad(CAST(doc_id AS VARCHAR), greatest(6, length(CAST(doc_id AS VARCHAR))), '0') stem,
+  SELECT lang dataset, source || '-' || lpad(CAST(doc_id AS VARCHAR), CAST(greatest(6, length(CAST(doc_id AS VARCHAR))) AS INTEGER), '0') stem,
          CASE WHEN quality = 1 THEN n_chars * 13 % 40000 ELSE 0 END building, CASE WHEN toxic = 1 THEN n_chars * 7 % 40000 ELSE 0 END water
   FROM documents LEFT JOIN labels USING (doc_id)
 ), chip_labels AS (

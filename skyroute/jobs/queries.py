@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyroute.jobs import geometry_queries
+from skyroute.jobs import geometry_queries, vision_queries
 
-MODULES = (geometry_queries,)
+MODULES = (geometry_queries, vision_queries)
 
 
 def queries() -> dict:
