@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from skyroute.jobs import geometry_queries, routing_queries, vision_queries
+from skyroute.jobs import geometry_queries, layer_queries, routing_queries, vision_queries
 
-MODULES = (geometry_queries, vision_queries, routing_queries)
+MODULES = (geometry_queries, vision_queries, layer_queries, routing_queries)
 
 
 def queries() -> dict:
