@@ -29,7 +29,7 @@ TREES = 24
 #: Bits of a hash string.
 BITS = 24
 #: Entries reached over all trees, as a multiple of the block's rows, at which the ascent ends.
-REACH = 0.8
+REACH = 1.2
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 NEIGHBOURS = 20
 SEED = 20240229

@@ -34,6 +34,8 @@ PREFIXES = (4, 5, 6)
 BINS = 12
 ROUNDS, PENALTY = 300, 0.05
 HEADS = ("low", "toxic")
+#: Posterior from which a document is rejected; a toxic document that stays does more harm than a clean one that goes.
+LIMITS = {"low": 0.5, "toxic": 0.3}
 STYLES = ("upper", "odd symbols", "exclamations", "digits", "distinct words", "repeats of the last word", "word length", "words")
 
 _UPPER = W.separators((65, 90))
@@ -222,7 +224,7 @@ def judged(
     """One row per document: id, n_words, evidence and posterior of both heads, the site's rates, and ``keep``.
 
     ``host`` and ``path`` are columns of ``docs``; a null one is a site of its own.  ``labels`` has the id, ``quality`` (0 low)
-    and ``toxic``.  A document is kept if neither its low-quality nor its toxic posterior reaches one half; a document
+    and ``toxic``.  A document is kept if neither posterior reaches its limit in ``LIMITS``; a document
     without words is not kept.  Without labels, or with one class only, the evidence is the prior.
     Repeated rows are judged each; an empty table gives an empty one; other columns are ignored, whatever their names.
     """
@@ -264,5 +266,5 @@ def judged(
         *(F.col(f"host_{h}") for h in HEADS),
         *(F.col(f"site_{h}") for h in HEADS),
         *(F.col(f"p_{h}") for h in HEADS),
-        ((F.col("n_words") > 0) & (F.col("p_low") < 0.5) & (F.col("p_toxic") < 0.5)).alias("keep"),
+        ((F.col("n_words") > 0) & (F.col("p_low") < LIMITS["low"]) & (F.col("p_toxic") < LIMITS["toxic"])).alias("keep"),
     )
