@@ -12,13 +12,16 @@ from skyroute.llm.hash_forest import nearest
 from skyroute.llm.jaccard_join import jaccard_join
 from skyroute.llm.main_text import extract_main_text
 from skyroute.llm.mixing import mixed
+from skyroute.llm.oracles import oracle_sql
 from skyroute.llm.quality import judged
 from skyroute.llm.quotations import linked_conversations
 from skyroute.llm.substring_dedup import remove_repeats
 from skyroute.llm.tables import table
-from skyroute.llm.url_filter import url_filter, url_filter_sql
+from skyroute.llm.url_filter import url_filter
 from skyroute.llm.warc import archived_pages
 
+__all__ = ["oracle_sql", "queries"]
+
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
@@ -73,7 +76,3 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_main_text": op10_main_text,
     }
-
-
-def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter_sql()}
