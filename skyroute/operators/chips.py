@@ -172,8 +172,7 @@ def class_weights(totals: DataFrame) -> DataFrame:
     """(label, weight): inverse to the pixels and summing up to 1; a label without pixels has the weight 0."""
     inverse = F.when(F.col("pixels") > 0, 1.0 / F.col("pixels")).otherwise(0.0)
     rows = totals.select("label", inverse.alias("w"))
-    total = rows.agg(F.sum("w").alias("total"))
-    return rows.crossJoin(F.broadcast(total)).select("label", (F.col("w") / F.col("total")).alias("weight"))  # one row
+    return rows.select("label", (F.col("w") / rows.agg(F.sum("w")).scalar()).alias("weight"))
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str) -> DataFrame:

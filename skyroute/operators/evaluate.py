@@ -47,7 +47,7 @@ def accuracy_iou(matrix: DataFrame) -> DataFrame:
     """One row: share of weight on the diagonal, and the mean of the classes' IoU."""
     on = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("weight")).otherwise(0.0))
     accuracy = matrix.agg(_ratio(on, F.sum("weight")).alias("accuracy"))
-    return accuracy.crossJoin(F.broadcast(class_iou(matrix).agg(F.avg("iou").alias("mean_iou"))))  # one row each
+    return accuracy.withColumn("mean_iou", class_iou(matrix).agg(F.avg("iou")).scalar())
 
 
 def best_epoch(history: DataFrame) -> DataFrame:
