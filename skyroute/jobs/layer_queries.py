@@ -12,7 +12,7 @@ from skyroute.functions import projections
 from skyroute.jobs import oracles as O
 from skyroute.jobs import vision_queries as vision
 from skyroute.jobs import world
-from skyroute.operators import airspace, chips, shapes, vertices
+from skyroute.operators import airspace, chips, overlay, shapes, vertices
 from skyroute.sources import readers, writers
 from skyroute.sources.staging import scratch
 
@@ -288,3 +288,39 @@ def write_graph_geojson(spark, sf):
     line = F.from_json("geometry.coordinates", "array<array<double>>")
     rows = back.select("properties.src", line.alias("c"))
     return rows.select("src", *(F.col("c")[i][j].alias(n) for n, i, j in (("x", 0, 0), ("y", 0, 1), ("left_x", 1, 0), ("left_y", 1, 1))))
+
+
+@query(f"""WITH {O.RINGS}, sq AS (SELECT area, x0 - 12 x, y0 - 12 y, s + 24 s FROM parts), px AS (SELECT area, x + i x, y + j y FROM (SELECT *, unnest(range(s)) i FROM sq), range(84) b(j) WHERE j < s)
+SELECT area, CAST(count(DISTINCT (x, y)) AS DOUBLE) size FROM px GROUP BY area""")
+def dissolve(spark, sf):
+    """Squares 12 units around each building, united: the size of each town's union."""
+    b = vertices.boxes(world.obstacles(spark, sf)).selectExpr("area", "polygon_id", "min_x - 12 a", "min_y - 12 b", "max_x + 12 c", "max_y + 12 d")
+    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    ring = F.array(corner("a", "b"), corner("c", "b"), corner("c", "d"), corner("a", "d"), corner("a", "b"))
+    return overlay.dissolve(b.select("area", "polygon_id", F.array(ring).alias("rings"))).groupBy("area").agg(F.round(F.sum("size"), 6).alias("size"))
+
+
+def _packed(spark, sf):
+    """Each image of 100 x 100 as bytes; pixels without an order are black."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pack(table: pa.Table) -> pa.Table:
+        image = np.zeros((vision.SIDE, vision.SIDE, 3), dtype=np.uint8)
+        at = (table.column("py").to_numpy(), table.column("px").to_numpy())
+        for k, c in enumerate("bgr"):
+            image[(*at, k)] = table.column(c).to_numpy()
+        size = pa.array([vision.SIDE], pa.int32())
+        return pa.table({"stem": [str(table.column("image_id")[0].as_py())], "width": size, "height": size, "data": pa.array([image.tobytes()], pa.binary())})
+
+    return world.pixels(spark, sf).groupBy("image_id").applyInArrow(pack, overlay.IMAGE)
+
+
+@query()
+def resize_bilinear(spark, sf):
+    return overlay.resize_bilinear(_packed(spark, sf), 40, 40).select("stem", "width", "height", F.sha2("data", 256).alias("digest"))
+
+
+@query()
+def augment_colors(spark, sf):
+    return overlay.augment_colors(_packed(spark, sf), 2, 11).select("stem", "width", "height", F.sha2("data", 256).alias("digest"))
