@@ -12,9 +12,11 @@ new random order until the rest of the budget is used up.  Blocks are of bounded
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyroute.llm import words as W
 from skyroute.llm.tables import staged
 
 #: Entropy of the weights as a share of that of equal weights.
@@ -27,10 +29,17 @@ SEED = 7
 _GRID, _ROUNDS = 17, 6
 
 
-def n_tokens(text: Column) -> Column:
-    """White-space separated words; 0 for null."""
-    trimmed = F.trim(F.regexp_replace(text, r"[\x09-\x0D\x20]+", " "))
-    return F.when(F.coalesce(F.length(trimmed), F.lit(0)) == 0, F.lit(0)).otherwise(F.length(trimmed) - F.length(F.replace(trimmed, F.lit(" "), F.lit(""))) + 1).cast("long")
+def token_counts(docs: DataFrame) -> DataFrame:
+    """(id, hash, source, tokens) of documents (id, text, source): white-space separated words, 0 for a null text."""
+
+    def run(batches):
+        for batch in batches:
+            for chunk in W.chunks(batch, "text"):
+                tokens = pa.array(W.split(chunk.column(1)).counts.astype("int64"))
+                yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(2), chunk.column(3), tokens], names=["id", "hash", "source", "tokens"])
+
+    rows = docs.select("id", "text", F.xxhash64("text").alias("hash"), "source")
+    return rows.mapInArrow(run, "id long, hash long, source string, tokens long")
 
 
 def _tried(sources: DataFrame, low: float, high: float, total: float, budget: float) -> list:
@@ -102,10 +111,8 @@ def mixed(
     Repeated rows take part each.  An empty table gives an empty one.
     Same input and seed, same result.  Other columns are ignored, whatever their names.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("hash"), F.col(source_col).cast("string").alias("source"), n_tokens(F.col(text_col)).alias("tokens")
-    )
-    rows = staged(rows.where("tokens > 0"), "token-counts")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))
+    rows = staged(token_counts(rows).where("tokens > 0"), "token-counts")
     weights, _ = source_weights(rows, "source", "tokens", budget=budget, target_entropy=target_entropy, max_repeats=max_repeats)
     weights = weights.select(F.col("source").alias("s2"), "weight", "repeats", F.ceil(F.col("docs") / block_docs).alias("blocks"))
     joined = rows.join(weights, F.col("source").eqNullSafe(F.col("s2"))).drop("s2")
