@@ -200,8 +200,14 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     )
     first = shared.groupBy("anchor").agg(F.min("id").alias("shard"))
     owned = staged(shared.join(first, "anchor"), "owned-anchors")
+    # shards that very many documents need; a table of few rows, whose size decides how it is joined
     parts = owned.groupBy("shard").agg(F.ceil(F.count("*") / PART_ANCHORS).cast("int").alias("parts"))
-    own = owned.join(parts, "shard").groupBy("id").agg(F.collect_set(F.struct("anchor", "shard", "parts")).alias("own"))
+    hot = staged(parts.where("parts > 1"), "hot-shards")
+    own = (
+        owned.join(hot, "shard", "left")
+        .groupBy("id")
+        .agg(F.collect_set(F.struct("anchor", "shard", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("own"))
+    )
     passages = _passages(packed(docs).join(own, "id").select("id", "text", "own"), window, anchor)
     matches = staged(_matches(passages, window, most_words), "matches")
     rest = matches.where("end is null").select(F.posexplode("windows").alias("k", "hash"), "id", "start")
