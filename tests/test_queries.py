@@ -37,6 +37,12 @@ def test_entry(spark):
     assert set(queries.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["shuffled_batches", "augment_chips", "grb_to_internal", "buffer_polygons"])
+@pytest.mark.parametrize("name", ["shuffled_batches", "augment_chips", "augment_colors", "resize_bilinear", "grb_to_internal", "buffer_polygons"])
 def test_rows_of_queries_without_sql(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
+
+
+@pytest.mark.parametrize("name", ["points_in_polygons", "visible_pairs", "bbox_intersects", "recharge_candidates", "path_zone_conflicts", "rasterize", "propulsion_sweep"])
+def test_plans_without_nested_loops(spark, name):
+    plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
