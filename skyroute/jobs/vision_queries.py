@@ -288,11 +288,11 @@ def timing_summary(spark, sf):
 _GRID = """g AS (SELECT p_partkey, CAST(1 + p_size % 10 / 10.0::DOUBLE AS DOUBLE) b, CAST(0.15 + p_partkey % 7 / 100.0::DOUBLE AS DOUBLE) c, w, v FROM part, (SELECT unnest([1.0::DOUBLE, 2.0::DOUBLE]) w), (SELECT unnest([12.0::DOUBLE, 18.0::DOUBLE]) v))"""
 
 
-@query(f"""WITH {_GRID}, f AS (SELECT *, b * c area, b / c ratio, 2 * pi() / (1 + 2 * pi() / (pi() * 0.9 * (b / c))) slope FROM g)
-SELECT p_partkey, w mass_kg, v speed_ms, round(area, 9) wing_area, round(ratio, 9) aspect_ratio, round(2 * w / (1.225 * v * v * area), 9) lift, round(1.225 * v * c / 1.7894e-5, 3) reynolds,
-  round(-4 + 2 * w / (1.225 * v * v * area) / slope * (180 / pi()), 6) angle_deg, round(sqrt(2 * w / (1.225 * area * 1.4)), 9) stall_speed,
-  CASE WHEN w / pow(area, 1.5) BETWEEN 0 AND 4 THEN 'glider' WHEN w / pow(area, 1.5) BETWEEN 5 AND 7 THEN 'trainer' WHEN w / pow(area, 1.5) BETWEEN 8 AND 10 THEN 'sport aerobatic'
-       WHEN w / pow(area, 1.5) BETWEEN 11 AND 13 THEN 'racer' WHEN w / pow(area, 1.5) BETWEEN 14 AND 15 THEN 'scale' ELSE 'between' END band FROM f""")
+@query(f"""WITH {_GRID}, f AS (SELECT *, b * c area, b / c ratio, 1.05::DOUBLE / (1 + 1.05::DOUBLE / (pi() * 0.8::DOUBLE * (b / c))) slope FROM g)
+SELECT p_partkey, w mass_kg, v speed_ms, round(area, 9) wing_area, round(ratio, 9) aspect_ratio, round(2 * w / (1.225 * v * v * area), 9) lift, round(1.225 * v * c / 1.81e-5, 3) reynolds,
+  round(-3.75::DOUBLE + 2 * w / (1.225 * v * v * area) / slope * (180 / pi()), 6) angle_deg, round(sqrt(2 * w / (1.225 * area * 1.4)), 9) stall_speed,
+  CASE WHEN w / pow(area, 1.5) < 4 THEN 'glider' WHEN w / pow(area, 1.5) BETWEEN 5 AND 7 THEN 'trainer' WHEN w / pow(area, 1.5) BETWEEN 8 AND 10 THEN 'sport aerobatic'
+       WHEN w / pow(area, 1.5) BETWEEN 11 AND 13 THEN 'racer' WHEN w / pow(area, 1.5) > 15 THEN 'scale' ELSE 'between' END band FROM f""")
 def aero_sweep(spark, sf):
     grid = world.table(spark, sf, "part").selectExpr("p_partkey", "1 + p_size % 10 / 10D span_m", "0.15D + p_partkey % 7 / 100D chord_m", "explode(array(1D, 2D)) mass_kg")
     r = design.aero_sweep(grid.withColumn("speed_ms", F.explode(F.array(F.lit(12.0), F.lit(18.0)))))
@@ -319,9 +319,9 @@ _TAIL = """t AS (SELECT p_partkey, 0.3 + p_size % 10 / 100.0::DOUBLE s, 1.5::DOU
   0.02 + p_partkey % 4 / 100.0::DOUBLE fa, 3 + p_partkey % 6 AS dih, 0.4 + p_partkey % 3 / 10.0::DOUBLE lift, 4.0::DOUBLE tr, 0.25 + p_partkey % 11 / 50.0::DOUBLE cg FROM part)"""
 
 
-@query(f"""WITH {_TAIL}, f AS (SELECT *, ta * arm / (s * c) vh, fa * arm / (s * b) vv, arm / b * dih / lift spiral FROM t),
+@query(f"""WITH {_TAIL}, f AS (SELECT *, ta * arm / (s * c) vh, fa * arm / (s * c) vv, arm / b * dih / lift spiral FROM t),
 n AS (SELECT *, 0.25 + (1 + 2 / (b / c)) / (1 + 2 / tr) * (1 - 4 / (b / c + 2)) * vh np FROM f)
-SELECT p_partkey, round(vh, 9) vh, round(vv, 9) vv, round(spiral, 9) spiral, round(np - cg, 9) margin, vh BETWEEN 0.30 AND 0.60 vh_ok, vv BETWEEN 0.02 AND 0.05 vv_ok, spiral >= 5 spiral_ok FROM n""")
+SELECT p_partkey, round(vh, 9) vh, round(vv, 9) vv, round(spiral, 9) spiral, round(np - cg, 9) margin, round(np - 0.10::DOUBLE, 9) wanted_cg, vh BETWEEN 0.30 AND 0.60 vh_ok, vv BETWEEN 0.02 AND 0.05 vv_ok, spiral > 5 spiral_ok, vv * spiral BETWEEN 0.10 AND 0.20 roll_ok, np - cg BETWEEN 0.05 AND 0.15 margin_ok FROM n""")
 def stability_sweep(spark, sf):
     grid = world.table(spark, sf, "part").selectExpr(
         "p_partkey", "0.3D + p_size % 10 / 100D wing_area", "1.5D span", "0.2D chord", "0.04D + p_partkey % 9 / 200D tail_area", "0.6D + p_partkey % 5 / 10D tail_arm",
@@ -329,7 +329,7 @@ def stability_sweep(spark, sf):
         "0.25D + p_partkey % 11 / 50D cg",
     )
     r = design.stability_sweep(grid)
-    return r.select("p_partkey", *(F.round(c, 9).alias(c) for c in ("vh", "vv", "spiral", "margin")), "vh_ok", "vv_ok", "spiral_ok")
+    return r.select("p_partkey", *(F.round(c, 9).alias(c) for c in ("vh", "vv", "spiral", "margin", "wanted_cg")), "vh_ok", "vv_ok", "spiral_ok", "roll_ok", "margin_ok")
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) parts, round(sum(l_quantity * l_extendedprice), 2) total, CAST(grouping(l_returnflag, l_linestatus) AS INTEGER) "level"

@@ -8,15 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Density and viscosity of air, lift slope and zero-lift angle of the section, span efficiency, largest lift coefficient.
-AIR_DENSITY, AIR_VISCOSITY = 1.225, 1.7894e-5
-LIFT_SLOPE, ZERO_LIFT_DEG, EFFICIENCY, MAX_LIFT = 2 * math.pi, -4.0, 0.9, 1.4
+AIR_DENSITY, AIR_VISCOSITY = 1.225, 1.81e-5
+LIFT_SLOPE, ZERO_LIFT_DEG, EFFICIENCY, MAX_LIFT = 1.05, -3.75, 0.8, 1.4
 #: Bands of wing cube loading (name, from, to).
-LOADING_BANDS = (("glider", 0, 4), ("trainer", 5, 7), ("sport aerobatic", 8, 10), ("racer", 11, 13), ("scale", 14, 15))
+LOADING_BANDS = (("trainer", 5, 7), ("sport aerobatic", 8, 10), ("racer", 11, 13))
+#: Gliders are below, and scale models above.
+GLIDER_BELOW, SCALE_ABOVE = 4, 15
+
+#: Fixed value: the static margin for which a centre of gravity is wanted.
+WANTED_MARGIN = 0.10
 
 
 def loading_band(loading: Column) -> Column:
     found = [F.when(loading.between(low, high), F.lit(name)) for name, low, high in LOADING_BANDS]
-    return F.coalesce(*found, F.lit("between"))
+    ends = F.when(loading < GLIDER_BELOW, "glider").when(loading > SCALE_ABOVE, "scale")
+    return F.coalesce(*found, ends, F.lit("between"))
 
 
 def aero_sweep(grid: DataFrame) -> DataFrame:
@@ -58,13 +64,13 @@ def stability_sweep(grid: DataFrame) -> DataFrame:
     """Tail designs (wing_area, span, chord, tail_area, tail_arm, fin_area, fin_arm, dihedral_deg, lift) with their coefficients and accepted bands."""
     s, b, c = F.col("wing_area"), F.col("span"), F.col("chord")
     vh = F.col("tail_area") * F.col("tail_arm") / (s * c)
-    vv = F.col("fin_area") * F.col("fin_arm") / (s * b)
+    vv = F.col("fin_area") * F.col("fin_arm") / (s * c)
     spiral = F.col("fin_arm") / b * F.col("dihedral_deg") / F.col("lift")
     ratio = 0.25 + (1 + 2 / (b / c)) / (1 + 2 / F.col("tail_ratio")) * (1 - 4 / (b / c + 2)) * vh
     margin = ratio - F.col("cg")
-    out = {"vh": vh, "vv": vv, "spiral": spiral, "neutral_point": ratio, "margin": margin}
+    out = {"vh": vh, "vv": vv, "spiral": spiral, "neutral_point": ratio, "margin": margin, "wanted_cg": ratio - WANTED_MARGIN}
     ok = {
-        "vh_ok": vh.between(0.30, 0.60), "vv_ok": vv.between(0.02, 0.05), "spiral_ok": spiral >= 5, "roll_ok": (vv * spiral).between(0.10, 0.20), "margin_ok": margin.between(0.05, 0.40),
+        "vh_ok": vh.between(0.30, 0.60), "vv_ok": vv.between(0.02, 0.05), "spiral_ok": spiral > 5, "roll_ok": (vv * spiral).between(0.10, 0.20), "margin_ok": margin.between(0.05, 0.15),
     }
     return grid.withColumns(out | ok)
 
