@@ -24,6 +24,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyroute.llm import words as W
 from skyroute.llm.tables import shared_folder, staged
 
 #: Bytes of archive from which a task goes on to the next one.
@@ -76,8 +77,9 @@ def write_warc(pages: DataFrame, folder: str | None = None, *, archive_bytes: in
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         out, path, size, records = None, "", 0, 0
-        for batch in batches:
-            for page, url, payload, digest, kept in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        # a few pages at a time become Python objects
+        for part in (part for batch in batches for part in W.chunks(batch, "payload")):
+            for page, url, payload, digest, kept in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if out is None:
                     path, size, records = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = store.open_output_stream(f"{root}/{path}", compression=None)
