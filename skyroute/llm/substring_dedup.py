@@ -38,7 +38,7 @@ ANCHOR = 5
 #: Words of one automaton.
 MOST_WORDS = 200_000
 #: Anchors of other documents in one part of a shard.
-PART_ANCHORS = 200_000
+PART_ANCHORS = 20_000
 
 
 def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
