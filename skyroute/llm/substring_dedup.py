@@ -170,8 +170,9 @@ def _matches(passages: DataFrame, window: int, most: int) -> DataFrame:
 
     def run(batches):
         key, shard, rows = None, None, []
-        for batch in batches:
-            for at, part, is_other, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        # some hundred passages at a time become Python objects
+        for piece in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
+            for at, part, is_other, doc, start, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 if key != (at, part):
                     key, shard = (at, part), _Shard(window, most)
                 rows += shard.other(doc, start, text) if is_other else shard.own(part, doc, start, text)
