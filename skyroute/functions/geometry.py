@@ -64,6 +64,19 @@ def enters_polygon(tx, ty, x="x", y="y", left_x="left_x", left_y="left_y", right
     The same as the target's direction not lying between those of the right and the left neighbour, by cross products only.
     """
     lx, ly, rx, ry, dx, dy = (col(p) - col(o) for p, o in ((left_x, x), (left_y, y), (right_x, x), (right_y, y), (tx, x), (ty, y)))
+    return _enters(dx, dy, lx, ly, rx, ry)
+
+
+def is_tangent(tx, ty, x="x", y="y", left_x="left_x", left_y="left_y", right_x="right_x", right_y="right_y") -> Column:
+    """Whether the line through a vertex and a target enters the polygon's corner on neither side of the vertex.
+
+    A shortest way bends, and passes, only at such corners; no line is tangent at a concave one.
+    """
+    lx, ly, rx, ry, dx, dy = (col(p) - col(o) for p, o in ((left_x, x), (left_y, y), (right_x, x), (right_y, y), (tx, x), (ty, y)))
+    return ~_enters(dx, dy, lx, ly, rx, ry) & ~_enters(-dx, -dy, lx, ly, rx, ry)
+
+
+def _enters(dx, dy, lx, ly, rx, ry) -> Column:
     corner, from_left, to_right = _cross(lx, ly, rx, ry), _cross(lx, ly, dx, dy), _cross(dx, dy, rx, ry)
     straight = (lx * rx + ly * ry < 0) & (from_left > 0)
     along_right = (to_right == 0) & (dx * rx + dy * ry >= 0)
@@ -120,6 +133,14 @@ def properly_cross(ax, ay, bx, by, cx, cy, dx, dy) -> Column:
     )
 
 
+def passes_through(ax, ay, bx, by, x="x", y="y", left_x="left_x", left_y="left_y", right_x="right_x", right_y="right_y") -> Column:
+    """Whether segment ab has a vertex strictly inside it and enters the polygon's corner there, on either side."""
+    x_, y_ = col(x), col(y)
+    ahead = (x_ - col(ax)) * (col(bx) - col(ax)) + (y_ - col(ay)) * (col(by) - col(ay)) > 0
+    behind = (x_ - col(bx)) * (col(ax) - col(bx)) + (y_ - col(by)) * (col(ay) - col(by)) > 0
+    return (orientation(ax, ay, bx, by, x, y) == 0) & ahead & behind & ~is_tangent(bx, by, x, y, left_x, left_y, right_x, right_y)
+
+
 def signed_area(ring) -> Column:
     """Shoelace area of a closed ring of (x, y); positive counter-clockwise."""
     ring = col(ring)

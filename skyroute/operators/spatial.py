@@ -63,33 +63,87 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, on).where(G.distance("a_x", "a_y", "b_x", "b_y") <= radius).drop("cx", "cy")
 
 
+def all_pairs(left: DataFrame, right: DataFrame, block: int = 100) -> DataFrame:
+    """As ``near_pairs`` at any distance; both have node_id, too.  The pairs of an area are dealt in blocks of about ``block`` x ``block``."""
+    parts = lambda rows, name: rows.groupBy("area").agg(F.ceil(F.count("*") / block).alias(name))
+    n = parts(left, "n_a").join(parts(right, "n_b"), "area")
+
+    def dealt(rows, s, own, other):
+        rows = rows.withColumn(own, F.pmod(F.xxhash64("node_id"), F.lit(2**31 - 1))).join(n, "area")
+        cols = (F.col(c).alias(f"{s}_{c}") for c in left.columns)
+        return rows.select(*cols, F.pmod(own, f"n_{s}").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"n_{'b' if s == 'a' else 'a'}") - 1)).alias(other))
+
+    a, b = dealt(left, "a", "at", "bt"), dealt(right.select(*left.columns), "b", "bt", "at")
+    # few rows become many pairs: as many tasks as there are, however small the tables
+    spark = left.sparkSession
+    b = b.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "b_area", "at", "bt")
+    return a.join(b, (F.col("a_area") == F.col("b_area")) & (a["at"] == b["at"]) & (a["bt"] == b["bt"])).drop("at", "bt")
+
+
 def same_location_pairs(nodes: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(src, dst), src < dst: nodes so near that they see each other whatever is between."""
     return near_pairs(nodes, nodes, tolerance).where("a_node_id < b_node_id").select(F.col("a_node_id").alias("src"), F.col("b_node_id").alias("dst"))
 
 
 def visible_pairs(
-    nodes: DataFrame, obstacle_edges: DataFrame, max_edge: float, *, targets: DataFrame | None = None, cell: float = 50.0, tolerance: float = 0.5
-) -> DataFrame:
-    """(area, src, dst, length): nodes that see each other, at most ``max_edge`` apart.
+    nodes: DataFrame, obstacle_edges: DataFrame, max_edge: float | None = None, *, targets: DataFrame | None = None, cell: float = 50.0, tolerance: float = 0.5,
+    taut: bool = False,
+) -> DataFrame:
+    """(area, src, dst, length): nodes that see each other, at most ``max_edge`` apart, or at any distance if it is None.
 
     A pair sees each other if it is within ``tolerance``, or if the way starts inside an obstacle's corner at neither
     end and properly crosses no obstacle edge.  Nodes have node_id, is_obstacle, x, y and the neighbours of obstacle
     vertices.  The corners are tested before any edge is looked at; the ways that are left meet the edges in
     the grid cells that they pass.  With ``targets``, pairs are of one node and one target instead, src the target.
+
+    With ``taut``, a way must be tangent to the corners at its ends: others are on no shortest path between points that are
+    not obstacle vertices.  Nodes with another one within ``tolerance`` (column ``loose``, see ``with_loose``) keep all ways, as a path can jump there.
     """
+    pair = all_pairs if max_edge is None else lambda a, b: near_pairs(a, b, max_edge)
     if targets is None:
-        pairs = near_pairs(nodes, nodes, max_edge).where("a_node_id < b_node_id")
+        pairs = pair(nodes, nodes).where("a_node_id < b_node_id")
     else:
-        pairs = near_pairs(targets, nodes, max_edge).where("a_node_id <> b_node_id")
+        pairs = pair(targets, nodes).where("a_node_id <> b_node_id")
+    return seen(pairs, obstacle_edges, cell=cell, tolerance=tolerance, taut=taut)
+
+
+def with_loose(nodes: DataFrame, others: DataFrame, tolerance: float = 0.5) -> DataFrame:
+    """``nodes`` with ``loose``: whether another node of the table or of ``others`` is within ``tolerance``."""
+    cols = ["area", "node_id", "x", "y"]
+    near = near_pairs(nodes.select(*cols), nodes.select(*cols).union(others.select(*cols)), tolerance).where("a_node_id <> b_node_id")
+    return nodes.join(near.select(F.col("a_node_id").alias("node_id"), F.lit(True).alias("l")).distinct(), "node_id", "left").select(*nodes.columns, F.coalesce("l", F.lit(False)).alias("loose"))
+
+
+def _in_cells(rows: DataFrame, x1: str, y1: str, x2: str, y2: str, size: float) -> DataFrame:
+    """A row for each cell (cx, cy) of ``G.crossed_cells``, made by two plain explodes, which are compiled."""
+    x, y, u, v = (F.col(c) for c in (x1, y1, x2, y2))
+    rows = rows.select("*", F.explode(F.sequence(F.floor(F.least(x, u) / size), F.floor(F.greatest(x, u) / size))).alias("cx"))
+    at = lambda to: F.when(x == u, None).otherwise(y + (v - y) / F.nullif(u - x, F.lit(0.0)) * (to - x))
+    low, high = F.greatest(F.least(x, u), F.col("cx") * size), F.least(F.greatest(x, u), (F.col("cx") + 1) * size)
+    rows = rows.select("*", F.coalesce(at(low), y).alias("_ya"), F.coalesce(at(high), v).alias("_yb"))
+    down, up = F.floor(F.least("_ya", "_yb") / size - 1e-9), F.floor(F.greatest("_ya", "_yb") / size + 1e-9)
+    return rows.select("*", F.explode(F.sequence(down, up)).alias("cy")).drop("_ya", "_yb")
+
+
+def seen(pairs: DataFrame, obstacle_edges: DataFrame, *, cell: float = 50.0, tolerance: float = 0.5, taut: bool = False) -> DataFrame:
+    """(area, src, dst, length) of the pairs (a_*, b_*) that see each other; see ``visible_pairs``.
+
+    If the edges have the right neighbour of their first vertex (right_x, right_y), ways that enter an obstacle through a vertex are blocked, too.
+    """
     ends = {s: [f"{s}_{c}" for c in ("x", "y", "left_x", "left_y", "right_x", "right_y")] for s in "ab"}
     pairs = pairs.withColumn("length", G.distance("a_x", "a_y", "b_x", "b_y")).withColumn("near", F.col("length") <= tolerance)
     for s, o in (("a", "b"), ("b", "a")):
         pairs = pairs.where(F.col("near") | ~F.col(f"{s}_is_obstacle") | ~G.enters_polygon(f"{o}_x", f"{o}_y", *ends[s]))
+        if taut:
+            pairs = pairs.where(F.col("near") | ~F.col(f"{s}_is_obstacle") | F.col(f"{s}_loose") | G.is_tangent(f"{o}_x", f"{o}_y", *ends[s]))
     pairs = pairs.select(F.col("a_area").alias("area"), F.col("a_node_id").alias("src"), F.col("b_node_id").alias("dst"), "a_x", "a_y", "b_x", "b_y", "length", "near")
-    ways = pairs.where("not near").select("*", F.explode(G.crossed_cells("a_x", "a_y", "b_x", "b_y", cell)).alias("cell"))
-    edges = obstacle_edges.select("area", "x1", "y1", "x2", "y2", F.explode(G.crossed_cells("x1", "y1", "x2", "y2", cell)).alias("cell"))
-    crossing = ways.join(edges, ["area", "cell"]).where(G.properly_cross("a_x", "a_y", "b_x", "b_y", "x1", "y1", "x2", "y2")).select("src", "dst").distinct()
+    ways = _in_cells(pairs.where("not near"), "a_x", "a_y", "b_x", "b_y", cell)
+    corner = ["right_x", "right_y"] if "right_x" in obstacle_edges.columns else []
+    edges = _in_cells(obstacle_edges.select("area", "x1", "y1", "x2", "y2", *corner), "x1", "y1", "x2", "y2", cell)
+    blocked = G.properly_cross("a_x", "a_y", "b_x", "b_y", "x1", "y1", "x2", "y2")
+    if corner:
+        blocked = blocked | G.passes_through("a_x", "a_y", "b_x", "b_y", "x1", "y1", "x2", "y2", *corner)
+    crossing = ways.join(edges, ["area", "cx", "cy"]).where(blocked).select("src", "dst").distinct()
     return pairs.join(crossing, ["src", "dst"], "left_anti").select("area", "src", "dst", "length")
 
 
