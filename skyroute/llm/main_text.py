@@ -2,9 +2,9 @@
 
 Markup is stripped into *lines*, one for each stretch between block-level tags, blank ones included.  The
 text lengths (link text left out) are summed over sliding windows of ``WINDOW`` lines.  A line where the sum
-surges over the threshold opens a run, and the line where it dives back closes it; the run with the
-most text is the main text.  The run is then widened to the element that marks the article, if it lies
-in one, so that short first and last paragraphs stay.  Scripts, styles, navigation, forms, asides,
+surges over the threshold, the same for all pages, opens a run, and the line where it dives back closes it.  Runs that belong together are joined with all that is between them: those with few characters of links between,
+or in one parent block with less of them than text in either run.  The joined run with the most text is the main text.  If there are
+article or main elements, the one with the most text in runs is the main text as a whole instead, so that short first and last paragraphs stay.  Scripts, styles, navigation, forms, asides,
 footers and elements whose class, id or role names a notice, an advert, comments or the like are
 dropped as markup, before anything is counted.
 """
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from skyroute.llm import words as W
 
 WINDOW = 3
-#: Share of the largest window sum from which a run counts as text, and the least sum in characters.
-SURGE_SHARE, SURGE_LEAST = 0.2, 40
+#: Window sum in characters from which a run counts as text; not a share of the page's sums, as long lines would hide shorter ones.
+SURGE_LEAST = 40
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -65,10 +65,14 @@ def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
     return any(_MARKS.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(attributes))
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters outside links, article) of each line; article is the number of its outermost article or main element, or 0."""
+def lines(page: str) -> list[tuple[str, int, int, int]]:
+    """(text, characters outside links, article, parent) of each line.
+
+    Article is the number of its outermost article or main element, or 0; parent the number of the block around its own, or -1 for the body.
+    """
     tokens = list(_TOKEN.finditer(page))
     ends: dict[int, int] = {}  # token of an element's end tag, for each start tag
+    starts: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
     for k, t in enumerate(tokens):
         tag = (t[3] or "").lower()
@@ -76,16 +80,18 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if t[2]:
             if own := opened.get(tag):
-                ends[own.pop()] = k
+                starts[k] = own.pop()
+                ends[starts[k]] = k
         elif not t[4].endswith("/"):
             opened.setdefault(tag, []).append(k)
     out, text, linked, link, depth, article, articles = [], [], 0, 0, 0, 0, 0
     at, k = 0, 0
+    around: list[int] = []  # the blocks that are open and will be closed, without html and body
 
     def flush():
         nonlocal text, linked
         line = " ".join(entities.unescape("".join(text)).split())
-        out.append((line, max(0, len(line) - linked), article))
+        out.append((line, max(0, len(line) - linked), article, around[-2] if len(around) > 1 else -1))
         text, linked = [], 0
 
     while k < len(tokens):
@@ -117,6 +123,12 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         if tag in BLOCK:
             flush()
             link = 0
+            if tag not in ("html", "body"):
+                if not closing and k - 1 in ends:
+                    around.append(k - 1)
+                elif closing and k - 1 in starts:
+                    while around and around[-1] >= starts[k - 1]:
+                        around.pop()
         if tag in ("article", "main"):
             depth = max(0, depth - 1) if closing else depth + 1
             if not closing and depth == 1:
@@ -128,15 +140,35 @@ def lines(page: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _joined(found: list, runs: list[tuple[int, int]], sizes: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, start, stop) of the runs, those that belong together as one."""
+    links = np.array([len(x[0]) for x in found], dtype=np.int64) - sizes
+    blocks = lambda a, b: {x[3] for x in found[a:b] if x[1]} - {-1}
+    out: list[tuple[int, int, int]] = []
+    last = (0, 0)  # the last run's own lines, up to the end of its last window
+    for own, b in runs:
+        a, reach = own, min(b + WINDOW - 1, len(found))
+        text = int(sizes[a:reach].sum())
+        if out:
+            between = slice(last[1], max(last[1], a))
+            linked = int(links[between].sum())
+            near = blocks(*last) & blocks(a, reach) and linked <= min(text, int(sizes[slice(*last)].sum()))
+            if near or linked <= max(SURGE_LEAST, int(sizes[between].sum())):
+                a = out.pop()[1]
+        out.append((int(sizes[a:b].sum()), a, b))
+        last = (own, reach)
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text: its blocks joined by two line ends; empty if there is none."""
     found = lines(page or "")
     sizes = np.array([x[1] for x in found], dtype=np.int64)
     marks = np.array([x[2] for x in found], dtype=np.int64)
     sums = np.convolve(sizes, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of each line and those after it
-    high = sums >= max(SURGE_LEAST, SURGE_SHARE * sums.max())
+    high = sums >= SURGE_LEAST
     edges = np.flatnonzero(np.r_[True, high[1:] != high[:-1], True])
-    runs = [(int(sizes[a:b].sum()), int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if high[a]]
+    runs = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if high[a]]
     if marks.any():
         # the article with the most text in runs, or in all if nothing surges
         weight = np.bincount(marks, np.where(high, sizes, 0)) if runs else np.bincount(marks, sizes)
@@ -148,7 +180,7 @@ def main_text(page: str | None) -> str:
         start, stop = int(own[0]), int(own[-1]) + 1
         chosen = [found[k][0] for k in range(start, stop) if marks[k] == marks[own[0]]]
     elif runs:
-        _, start, stop = max(runs, key=lambda r: (r[0], -r[1]))
+        _, start, stop = max(_joined(found, runs, sizes), key=lambda r: (r[0], -r[1]))
         chosen = [x[0] for x in found[start : stop + WINDOW - 1]]
     else:
         chosen = [x[0] for x in found if x[1]]
