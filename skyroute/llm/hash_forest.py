@@ -30,6 +30,8 @@ TREES = 24
 BITS = 24
 #: Entries reached over all trees, as a multiple of the block's rows, at which the ascent ends.
 REACH = 1.2
+#: Distinct entries scored in each block, as a multiple of those kept; where the ascent reaches fewer, the whole block is scored.
+DISTINCT = 4
 BLOCK_ROWS, QUERY_ROWS = 8192, 4096
 NEIGHBOURS = 20
 SEED = 20240229
@@ -81,6 +83,8 @@ def _search(ids, x, query_ids, q, longest, *, trees, bits, reach, keep, seed):
         for t in range(trees):
             reached[order[t, low[t, k] : high[t, k]]] = True
         at = np.flatnonzero(reached)
+        if len(at) < min(len(x), DISTINCT * keep):  # trees repeat each other's entries; only a block of few rows can fall short
+            at = np.arange(len(x))
         score = x[at] @ q[k]
         if len(at) > keep:
             # all that tie with the last one kept stay for now
