@@ -172,14 +172,19 @@ def encode_shapes(polygons: list[list[list[tuple[float, float]]]]) -> bytes:
     return struct.pack(">i5ii", 9994, 0, 0, 0, 0, 0, (100 + len(records)) // 2) + struct.pack("<ii", 1000, 5) + bytes(64) + records
 
 
-def decode_shapes(data: bytes) -> list[list[list[tuple[float, float]]]]:
-    """Rings of every polygon record; rings of fewer than three points are dropped."""
+#: Shape types with rings: polygons, those with z and those with measures; parts and xy points lie at the same places in all.
+_POLYGONS = (5, 15, 25)
+
+
+def decode_shapes(data: bytes) -> list[list[list[tuple[float, float]]] | None]:
+    """Rings of every polygon record, and None for each record of another type; rings of fewer than three points are dropped."""
     at, out = 100, []
     while at + 8 <= len(data):
         size = struct.unpack_from(">i", data, at + 4)[0] * 2
         body = data[at + 8 : at + 8 + size]
         at += 8 + size
-        if struct.unpack_from("<i", body)[0] != 5:
+        if struct.unpack_from("<i", body)[0] not in _POLYGONS:
+            out.append(None)
             continue
         n_parts, n_points = struct.unpack_from("<ii", body, 36)
         starts = [*np.frombuffer(body, "<i4", n_parts, 44).tolist(), n_points]
@@ -189,7 +194,10 @@ def decode_shapes(data: bytes) -> list[list[list[tuple[float, float]]]]:
 
 
 def read_shapefile_zips(spark: SparkSession, pattern: str, member: str = r"(^|/)Shapefile/[^/]+\.shp$") -> DataFrame:
-    """(path, member, record, rings) of all polygons in all archives that the pattern matches; one archive is one task's row."""
+    """(path, member, record, rings) of all polygons in all archives that the pattern matches; one archive is one task's row.
+
+    Records that are no polygons are rejected: they have a row with null rings.
+    """
     import re
 
     def run(batches):
@@ -203,7 +211,7 @@ def read_shapefile_zips(spark: SparkSession, pattern: str, member: str = r"(^|/)
                                 out["path"].append(path)
                                 out["member"].append(name)
                                 out["record"].append(k)
-                                out["rings"].append([[{"x": x, "y": y} for x, y in r] for r in rings])
+                                out["rings"].append(None if rings is None else [[{"x": x, "y": y} for x, y in r] for r in rings])
             point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
             yield pa.RecordBatch.from_pydict(out, pa.schema([("path", pa.string()), ("member", pa.string()), ("record", pa.int32()), ("rings", pa.list_(pa.list_(point)))]))
 
