@@ -1,7 +1,9 @@
 """N-gram Jaccard join with token-combination prefixes.
 
 Documents are sets of word shingles; two link when their Jaccard similarity reaches a threshold.
-The steps are exact: each drops only documents or pairs that cannot reach the threshold.
+Each step drops only documents or pairs that cannot reach the threshold.  Shingles are compared by
+64-bit hashes, so two different shingles may count as one with a chance of about 2**-62; a set of a single
+shingle is compared by a 128-bit digest of its words.
 
 1. *Sets.*  Each text becomes a set of 64-bit shingle hashes.  Texts with the same set are merged
    into one representative before anything is compared, so exact copies never meet each other.
@@ -17,9 +19,9 @@ The steps are exact: each drops only documents or pairs that cannot reach the th
    more than ``tau`` losses would be needed.  The number of groups follows the size band
    of the documents, so that two documents that may link deal alike.
 5. *Stars, then the rest.*  Each signature's members are compared with one of them; the links give
-   first components.  Then all pairs of one signature whose components still differ are compared:
-   each pair once, at the first signature that both share, if position and size leave it a chance.
-   Members of one component are never paired, so groups of copies make no squares of rows.
+   first components.  Then the members of one signature and size band whose components still differ are
+   paired, if position and size leave them a chance; each pair is verified once.  A signature's members
+   of a band are left out where all are in one component, so groups of copies make no squares of rows.
 """
 
 from __future__ import annotations
@@ -79,10 +81,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, who
             for chunk in W.unpacked(batch, "text") if is_packed else W.chunks(batch, "text"):
                 words = W.split(chunk.column(1), lower=True)
                 sizes, digests, kept = [], [], []
-                for found in shingle_sets(words, k):
+                for d, found in enumerate(shingle_sets(words, k)):
                     n = len(found)
                     sizes.append(n)
-                    digests.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+                    same = found.tobytes()
+                    if n == 1:
+                        own = slice(words.first[d], min(words.first[d] + k, words.first[d + 1]))
+                        same = b" ".join(words.data[x:y].tobytes() for x, y in zip(words.starts[own], words.ends[own], strict=True))
+                    digests.append(hashlib.blake2b(same, digest_size=16).digest())
                     kept.append(found if whole else found[: n - _need(n, percent) + max(1, n // 20)])
                 pair = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
@@ -254,27 +260,28 @@ def jaccard_join(
     links = staged(_verified(stars, sets, percent), "star-links")
     first = connected_components(links)
 
-    # the rest: pairs of one signature in different components
+    # the rest: pairs of one signature in different components; the smaller set of a pair is in the band of the larger or the one before
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     member = (
-        member.join(first.select(F.col("node").alias("id"), "component"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id"))
+        member.where(F.col("rem") * 100 >= F.col("n") * percent)
+        .join(first.select(F.col("node").alias("id"), "component"), "id", "left")
+        .select("sig", "id", "n", "e", "rem", F.coalesce("component", "id").alias("component"), band.alias("band"))
     )
-    open_sigs = member.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("sig")
-    left = staged(
-        member.join(open_sigs, "sig", "left_semi")
-        .join(signed.select("id", "sigs"), "id")
-        .select("sig", "id", "n", "e", "rem", "component", F.slice("sigs", 1, F.col("pos")).alias("prior")),
-        "open",
-    )
-    a, b = left.alias("a"), left.alias("b")
+    apart = (F.min("component").alias("lo"), F.max("component").alias("hi"))
+    open_sigs = member.groupBy("sig").agg(*apart).where("lo < hi").select("sig")
+    dealt = member.join(open_sigs, "sig", "left_semi").withColumn("key", F.explode(F.array(F.col("band"), F.col("band") + 1)))
+    dealt = staged(dealt, "open")
+    open_keys = dealt.groupBy("sig", "key").agg(*apart).where("lo < hi").select("sig", "key")
+    left = dealt.join(open_keys, ["sig", "key"], "left_semi")
+    a, b = left.alias("a"), left.where("key = band").alias("b")
     rest = (
-        a.join(b, F.col("a.sig") == F.col("b.sig"))
-        .where(F.col("a.id") < F.col("b.id"))
+        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.key") == F.col("b.key")))
+        .where(F.struct("a.n", "a.id") < F.struct("b.n", "b.id"))
         .where(F.col("a.component") != F.col("b.component"))
         .where(_may_link("a", "b", percent))
         .where(F.least("a.rem", "b.rem") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-        .where(~F.arrays_overlap("a.prior", "b.prior"))
         .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        .distinct()
     )
     links = links.union(_verified(rest, sets, percent))
     components = connected_components(links)

@@ -4,14 +4,18 @@ A word is a maximal run of bytes that are not separators.  All positions, hashes
 windows of a *chunk* of documents (about ``CHUNK_BYTES`` of text, or one longer document)
 are computed with numpy at once, so Python cost is per chunk and not per word.
 
-Hashes are 64-bit: a polynomial over the bytes of the word, modulo 2**64, passed through a
-mixing function.  They are the same on every machine and in every run.
+A word's hash joins two polynomials over its bytes, modulo two primes below 2**31, and its length, and
+passes them through a mixing function; words longer than a chunk have a BLAKE2 digest instead.  Two
+different words agree with a chance of about 2**-62; no pattern of letters makes them agree whatever
+the base, as it would modulo 2**64.  Hashes are the same on every machine and in every run.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +23,8 @@ import pyarrow as pa
 CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: (prime, base) of each polynomial.
+_FIELDS = ((2147483647, 1588635695), (2147483629, 1223106847))
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -49,18 +53,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_powers: dict[int, np.ndarray] = {}
+@cache
+def _powers(base: int, prime: int) -> np.ndarray:
+    """Powers of a base modulo a prime, for every byte of a stretch of words."""
+    out = np.ones(CHUNK_BYTES, dtype=np.uint64)
+    n = 1
+    while n < len(out):
+        out[n : 2 * n] = out[: min(n, len(out) - n)] * _U(pow(base, n, prime)) % _U(prime)
+        n *= 2
+    return out
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 16), _U(base))
-        have[0] = 1
-        have = np.multiply.accumulate(have)
-        if n <= 4 * CHUNK_BYTES:  # a single huge document does not pin its table for ever
-            _powers[base] = have
-    return have
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes; both edges must not decrease."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    at = 0
+    while at < len(starts):  # a stretch of spans at a time, so that memory follows the stretch and not the text
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + CHUNK_BYTES, side="right")))
+        low, high = int(starts[at]), int(ends[to - 1])
+        if high - low > CHUNK_BYTES:
+            out[at] = np.frombuffer(hashlib.blake2b(data[low:high].tobytes(), digest_size=8).digest(), dtype=np.uint64)[0]
+        else:
+            letters = data[low:high].astype(np.uint64) + _U(1)
+            s, e = starts[at:to] - low, ends[at:to] - low
+            joined = (e - s).astype(np.uint64)
+            for prime, base in _FIELDS:
+                sums = np.zeros(high - low + 1, dtype=np.uint64)
+                np.cumsum(letters * _powers(base, prime)[: high - low], out=sums[1:])  # below 2**60
+                value = (sums[e] - sums[s]) % _U(prime) * _powers(pow(base, -1, prime), prime)[s] % _U(prime)
+                joined = mix(joined + (value << _U(32)) + value)
+            out[at:to] = joined
+        at = to
+    return out
 
 
 @dataclass
@@ -73,7 +97,6 @@ class Words:
     hashes: np.ndarray  # uint64 for each word
     first: np.ndarray  # index of the first word of each document, and the number of words at the end
     bounds: np.ndarray  # first byte of each document, and the number of bytes at the end
-    sums: np.ndarray  # prefix sums of the polynomial
 
     @property
     def counts(self) -> np.ndarray:
@@ -81,8 +104,7 @@ class Words:
 
     def prefix_hashes(self, n: int) -> np.ndarray:
         """Hash of the first n bytes of each word (of all of a shorter one)."""
-        ends = np.minimum(self.ends, self.starts + n)
-        return mix((self.sums[ends] - self.sums[self.starts]) * _power(_BASE_INVERSE, len(self.sums))[self.starts] + _U(n))
+        return mix(span_hashes(self.data, self.starts, np.minimum(self.ends, self.starts + n)) + _U(n))
 
     def doc_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
@@ -108,11 +130,7 @@ def split(values: pa.Array, separator: np.ndarray = WHITE_SPACE, lower: bool = F
     begin[edges] = inside[edges]
     end[edges - 1] = inside[edges - 1]
     starts, ends = np.flatnonzero(begin), np.flatnonzero(end) + 1
-    n = len(data) + 1
-    sums = np.zeros(n, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * _power(_BASE, n)[: n - 1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power(_BASE_INVERSE, n)[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets), offsets, sums)
+    return Words(data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets), offsets)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:

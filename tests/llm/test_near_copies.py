@@ -72,3 +72,33 @@ def test_whole_documents_table(spark):
     folder = "/root/testdata/sf0.001"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert {tuple(r) for r in op1_jaccard_join(spark, folder).collect()} == brute.jaccard_components(rows)
+
+
+def test_words_that_collide_modulo_a_power_of_two(spark):
+    """A long word of two letters and its complement have equal polynomial hashes modulo 2**64, but are other words."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+    rows = [(1, one), (2, two), (3, f"{one} in a text of its own"), (4, f"{two} in a text of its own"), (5, one)]
+    assert components(spark, rows) == brute.jaccard_components(rows) == {(1, 1, 1), (2, 1, 2), (3, 3, 3), (4, 3, 4), (5, 1, 1)}
+
+
+def test_very_long_text_among_its_near_copies(spark):
+    rng = random.Random(4)
+    long = [f"t{rng.randrange(20_000)}" for _ in range(200_000)]
+    rows = [(1, " ".join(long))]
+    for c in range(2, 6):
+        copy = list(long)
+        for k in range(c, 200_000, 60 * c):
+            copy[k] = f"edit{c}"
+        rows.append((c, " ".join(copy)))
+    assert components(spark, rows) == brute.jaccard_components(rows)
+
+
+def test_sizes_at_the_edges_of_bands(spark):
+    """Pairs just at and just under the threshold, over many sizes, that share frequent shingles with all others."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = [(n, " ".join(base[:n])) for n in range(5, 400, 3)]
+    assert components(spark, rows, frequent=4) == brute.jaccard_components(rows)
+    tail = [(1000 + n, " ".join(base[: n - 1] + [f"x{n}"] * (1 + n // 4))) for n in range(8, 200, 7)]
+    assert components(spark, rows[::9] + tail, frequent=2) == brute.jaccard_components(rows[::9] + tail)
