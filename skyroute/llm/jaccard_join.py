@@ -20,8 +20,9 @@ shingle is compared by a 128-bit digest of its words.
    of the documents, so that two documents that may link deal alike.
 5. *Stars, then the rest.*  Each signature's members are compared with one of them; the links give
    first components.  Then the members of one signature and size band whose components still differ are
-   paired, if position and size leave them a chance; each pair is verified once.  A signature's members
-   of a band are left out where all are in one component, so groups of copies make no squares of rows.
+   paired, if position, size and sketch leave them a chance; each pair is verified once.  In a group only the members outside its
+   largest component look for partners, so groups of copies make no squares of rows.  A sketch is ``SKETCH`` bits: the parity of the
+   number of shingles of each bucket.  Bits in which two sketches differ are at most the shingles that only one of the sets has.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ PERCENT = 80
 FREQUENT = 32
 #: Expected shingles of a whole document in one group of the frequent class.
 GROUP = 8
+#: Bits of a sketch, in longs.
+SKETCH = 256
+_SKETCH_COLS = [f"k{i}" for i in range(SKETCH // 64)]
 
 
 def shingle_sets(words: W.Words, k: int) -> Iterator[np.ndarray]:
@@ -122,6 +126,18 @@ def _may_link(a: str, b: str, percent: int) -> Column:
     )
 
 
+def _sketches_may_link(a: str, b: str, percent: int) -> Column:
+    """Whether the sketches allow a link: |A & B| <= (e + e - differing bits) / 2."""
+    differing = sum((F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in _SKETCH_COLS), F.lit(0))
+    return (F.col(f"{a}.e") + F.col(f"{b}.e") - differing) * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * (2 * percent)
+
+
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the number of tokens (uint64) in each of ``SKETCH`` buckets, packed in int64."""
+    odd = np.bincount((W.mix(tokens) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _signature_arrays(percent: int, frequent: int, group: int):
     """For batches of (id, n, tokens in order, frequencies): the ordered signatures and what may follow each."""
 
@@ -134,7 +150,7 @@ def _signature_arrays(percent: int, frequent: int, group: int):
             offsets, flat = at.offsets.to_numpy(), at.values
             # flat also holds what lies before a slice's first offset
             dfs, toks = flat.field("df").to_numpy(), flat.field("token").to_numpy()
-            sigs, rems = [], []
+            sigs, rems, sketches = [], [], []
             for i, n in enumerate(ns.tolist()):
                 df, tok = dfs[offsets[i] : offsets[i + 1]], toks[offsets[i] : offsets[i + 1]]
                 lost = n - len(tok)  # tokens of this document only; they come first in the order
@@ -169,11 +185,13 @@ def _signature_arrays(percent: int, frequent: int, group: int):
                         combos = np.unique(np.concatenate(combos))
                         own.append(combos)
                         rem.append(np.full(len(combos), len(hot)))
+                sketches.append(sketch(tok.view(np.uint64)))
                 sigs.append(np.concatenate(own).view(np.int64))
                 rems.append(np.concatenate(rem).astype(np.int64))
+            bits = np.array(sketches, dtype=np.int64).reshape(-1, len(_SKETCH_COLS))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(ns), batch.column(names.index("e")), _lists(sigs), _lists(rems)],
-                names=["id", "n", "e", "sigs", "rems"],
+                [pa.array(ids), pa.array(ns), batch.column(names.index("e")), _lists(sigs), _lists(rems), *map(pa.array, bits.T.copy())],
+                names=["id", "n", "e", "sigs", "rems", *_SKETCH_COLS],
             )
 
     return run
@@ -236,7 +254,7 @@ def jaccard_join(
     # 4. signatures
     signed = staged(
         sets.select("id", "n", "e", "ordered").mapInArrow(
-            _signature_arrays(percent, frequent, group), "id long, n long, e long, sigs array<long>, rems array<long>"
+            _signature_arrays(percent, frequent, group), "id long, n long, e long, sigs array<long>, rems array<long>, " + ", ".join(f"{c} long" for c in _SKETCH_COLS)
         ),
         "signatures",
     )
@@ -271,18 +289,24 @@ def jaccard_join(
     open_sigs = member.groupBy("sig").agg(*apart).where("lo < hi").select("sig")
     dealt = member.join(open_sigs, "sig", "left_semi").withColumn("key", F.explode(F.array(F.col("band"), F.col("band") + 1)))
     dealt = staged(dealt, "open")
-    open_keys = dealt.groupBy("sig", "key").agg(*apart).where("lo < hi").select("sig", "key")
-    left = dealt.join(open_keys, ["sig", "key"], "left_semi")
-    a, b = left.alias("a"), left.where("key = band").alias("b")
-    rest = (
-        a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.key") == F.col("b.key")))
-        .where(F.struct("a.n", "a.id") < F.struct("b.n", "b.id"))
-        .where(F.col("a.component") != F.col("b.component"))
-        .where(_may_link("a", "b", percent))
-        .where(F.least("a.rem", "b.rem") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
-        .distinct()
-    )
+    sizes = dealt.groupBy("sig", "key", "component").agg(F.count("*").alias("c"))
+    open_keys = sizes.groupBy("sig", "key").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.count("*").alias("c")).where("c > 1")
+    left = dealt.join(open_keys.select("sig", "key", "main"), ["sig", "key"]).join(signed.select("id", *_SKETCH_COLS), "id")
+    left = staged(left.withColumn("apart", F.col("component") != F.col("main")).drop("main"), "open-keys")
+
+    def pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+        a, b = small.alias("a"), large.where("key = band").alias("b")
+        return (
+            a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.key") == F.col("b.key")))
+            .where(F.struct("a.n", "a.id") < F.struct("b.n", "b.id"))
+            .where(F.col("a.component") != F.col("b.component"))
+            .where(_may_link("a", "b", percent))
+            .where(F.least("a.rem", "b.rem") * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent)
+            .where(_sketches_may_link("a", "b", percent))
+            .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        )
+
+    rest = pairs(left.where("apart"), left).union(pairs(left.where("not apart"), left.where("apart"))).distinct()
     links = links.union(_verified(rest, sets, percent))
     components = connected_components(links)
 
