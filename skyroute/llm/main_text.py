@@ -2,17 +2,24 @@
 
 Markup is stripped into *lines*, one for each stretch between block-level tags, blank ones included.  The
 text lengths (link text left out) are summed over sliding windows of ``WINDOW`` lines.  A line where the sum
-surges over the threshold, the same for all pages, opens a run, and the line where it dives back closes it.  Runs that belong together are joined with all that is between them: those with few characters of links between,
-or in one parent block with less of them than text in either run.  The joined run with the most text is the main text.  If there are
-article or main elements, the one with the most text in runs is the main text as a whole instead, so that short first and last paragraphs stay.  Scripts, styles, navigation, forms, asides,
-footers and elements whose class, id or role names a notice, an advert, comments or the like are
-dropped as markup, before anything is counted.
+surges over the threshold, the same for all pages, opens a run, and the line where it dives back closes it.  Runs that belong
+together are joined with all that is between them: those with few characters of links between, or in one parent block with
+less of them than text in either run.  The joined run with the most text is the main text; an article or main element around a run doubles its weight.
+
+Windows cut short first and last lines, such as headings, so both ends are then moved on inside the lowest block that holds the run: over
+lines that are headings or of the run's kind and not mostly links, or to the ends of the block if it is an article or main element.
+
+Scripts, styles, navigation, forms, asides and footers are dropped as markup before anything is counted, and so are elements
+with a class, id or role that names, as a whole, an advert, a menu, comments or the like; not those around all articles.  Names that may
+also stand for text (``SOFT``) only count outside articles; inside, lines of such elements go if they are mostly links.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +47,19 @@ DROPPED = frozenset(
 )
 #: Elements whose content is not parsed.
 _RAW = "script|style|textarea|title|xmp"
-#: Words of a class, id or role that mark what is not the article.
-_MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo(?:tion)?|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|"
-    r"newsletter|subscribe|subscription|signup|login|search|sidebar|side|widgets?|menu|nav|navbar|navigation|breadcrumbs?|pagination|pager|"
-    r"share|sharing|social|related|recommended|recommendations|comments?|commentlist|disqus|repl(?:y|ies)|respond|footer|site-header|masthead|toolbar|"
-    r"complementary|contentinfo)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Names in a class, id or role of what is not the article.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense banner sponsor sponsored sponsors cookie cookies consent gdpr notice notices popup newsletter subscribe "
+    "subscription signup login sidebar sidebars widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead toolbar complementary contentinfo".split()
+)
+#: Names of readers' comments, each of which may be an article element.
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+#: Names that may also stand for text of the article.
+SOFT = frozenset("alert alerts modal overlay promo promos promotion promotions search share sharing social related recommended recommendations side".split())
+#: Words that say where or how much, and leave a name what it is.
+NEUTRAL = frozenset(
+    "area articles bar block bottom box button buttons global group header icons item items left links list lower main media module page post posts primary reader right row "
+    "secondary section site slot stories text top topics unit upper user".split()
 )
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _TOKEN = re.compile(
@@ -57,23 +70,38 @@ _TOKEN = re.compile(
 _SHORT = frozenset("p li dt dd td th option span a b i em strong small label h1 h2 h3 h4 h5 h6".split())
 
 
-def _dropped(tag: str, attributes: str, in_article: bool) -> bool:
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "main", "article") or "=" not in attributes:
+def _names(attributes: str, marks: frozenset) -> bool:
+    """Whether a whole name of a class, id or role is a mark, or of marks and neutral words only."""
+    if "=" not in attributes:
         return False
-    return any(_MARKS.search(next(filter(None, m.groups()), "")) for m in _NAMED.finditer(attributes))
+    for m in _NAMED.finditer(attributes):
+        for name in next(filter(None, m.groups()), "").lower().split():
+            words = [x for x in re.split(r"[-_]+", name) if x]
+            if any(x in marks for x in words) and all(x in marks or x in NEUTRAL for x in words):
+                return True
+    return False
 
 
-def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """(text, characters outside links, article, parent) of each line.
+#: Blocks that hold text and no other part of a page.
+LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaption caption legend summary address hr option".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-    Article is the number of its outermost article or main element, or 0; parent the number of the block around its own, or -1 for the body.
-    """
+
+class Line(NamedTuple):
+    text: str
+    size: int  #: characters outside links
+    path: tuple[int, ...]  #: the blocks around it, outermost first, without leaves
+    tag: str  #: the block that it begins or goes on in; empty behind the end of one
+    parent: int  #: the block around its own, -1 for the body
+
+
+def lines(page: str) -> tuple[list[Line], set[int]]:
+    """The lines of a page, and which of the blocks in their paths are article or main elements."""
     tokens = list(_TOKEN.finditer(page))
     ends: dict[int, int] = {}  # token of an element's end tag, for each start tag
     starts: dict[int, int] = {}
     opened: dict[str, list[int]] = {}
+    articles = []
     for k, t in enumerate(tokens):
         tag = (t[3] or "").lower()
         if not tag or tag in VOID:
@@ -84,16 +112,42 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                 ends[starts[k]] = k
         elif not t[4].endswith("/"):
             opened.setdefault(tag, []).append(k)
-    out, text, linked, link, depth, article, articles = [], [], 0, 0, 0, 0, 0
-    at, k = 0, 0
-    around: list[int] = []  # the blocks that are open and will be closed, without html and body
+            if tag in ("article", "main"):
+                articles.append(k)
+    out: list[Line] = []
+    text, linked, link, own_tag = [], 0, 0, ""
+    at, k, soft = 0, 0, -1  # soft: the end tag of the outermost element with a soft name in an article
+    around: list[int] = []  # the blocks that are open and will be closed, without html, body and leaves
+    within = set(articles)
 
     def flush():
         nonlocal text, linked
         line = " ".join(entities.unescape("".join(text)).split())
-        out.append((line, max(0, len(line) - linked), article, around[-2] if len(around) > 1 else -1))
+        size = max(0, len(line) - linked)
+        if not (soft >= 0 and size * 2 < len(line)):
+            parent = around[-1:] if own_tag in LEAF or not own_tag else around[-2:-1]
+            out.append(Line(line, size, tuple(around), own_tag, parent[0] if parent else -1))
         text, linked = [], 0
 
+    def dropped(tag: str, attributes: str, at: int) -> bool:
+        nonlocal soft
+        inside = any(x in within for x in around)
+        if tag in DROPPED or tag == "header" and not inside:
+            return True
+        if tag in ("html", "body", "main", "article") or "=" not in attributes:
+            return False
+        if _names(attributes, COMMENTS):
+            return True
+        if articles and at < articles[0] and articles[-1] < ends.get(at, at):  # around all articles
+            return False
+        if _names(attributes, MARKS | COMMENTS):
+            return True
+        if soft < 0 and _names(attributes, SOFT | MARKS | COMMENTS):
+            if not inside:
+                return True
+            soft = ends.get(at, -1)
+        return False
+
     while k < len(tokens):
         t = tokens[k]
         if t.start() > at:
@@ -105,8 +159,16 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         k += 1
         if not tag:
             continue
-        if not closing and tag not in VOID and _dropped(tag, t[4], depth > 0):
-            flush()
+        if not closing and tag not in VOID and (tag in BLOCK or tag in DROPPED or t[4]):
+            before = soft
+            gone = dropped(tag, t[4], k - 1)
+            if gone or soft != before:
+                now, soft = soft, before
+                flush()
+                soft = now
+        else:
+            gone = False
+        if gone:
             stop = ends.get(k - 1)
             if stop is None:  # never closed: up to the next block, or the article
                 short = tag in _SHORT
@@ -123,28 +185,27 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
         if tag in BLOCK:
             flush()
             link = 0
-            if tag not in ("html", "body"):
+            own_tag = "" if closing else tag
+            if tag not in ("html", "body") and tag not in LEAF:
                 if not closing and k - 1 in ends:
                     around.append(k - 1)
                 elif closing and k - 1 in starts:
                     while around and around[-1] >= starts[k - 1]:
                         around.pop()
-        if tag in ("article", "main"):
-            depth = max(0, depth - 1) if closing else depth + 1
-            if not closing and depth == 1:
-                articles += 1
-            article = articles if depth else 0
+        if k - 1 == soft:
+            flush()
+            soft = -1
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out
+    return out, within
 
 
-def _joined(found: list, runs: list[tuple[int, int]], sizes: np.ndarray) -> list[tuple[int, int, int]]:
-    """(text, start, stop) of the runs, those that belong together as one."""
-    links = np.array([len(x[0]) for x in found], dtype=np.int64) - sizes
-    blocks = lambda a, b: {x[3] for x in found[a:b] if x[1]} - {-1}
-    out: list[tuple[int, int, int]] = []
+def _joined(found: list[Line], runs: list[tuple[int, int]], sizes: np.ndarray) -> list[tuple[int, int]]:
+    """(start, stop) of the runs, with their last windows, those that belong together as one."""
+    links = np.array([len(x.text) for x in found], dtype=np.int64) - sizes
+    blocks = lambda a, b: {x.parent for x in found[a:b] if x.size} - {-1}
+    out: list[tuple[int, int]] = []
     last = (0, 0)  # the last run's own lines, up to the end of its last window
     for own, b in runs:
         a, reach = own, min(b + WINDOW - 1, len(found))
@@ -154,39 +215,78 @@ def _joined(found: list, runs: list[tuple[int, int]], sizes: np.ndarray) -> list
             linked = int(links[between].sum())
             near = blocks(*last) & blocks(a, reach) and linked <= min(text, int(sizes[slice(*last)].sum()))
             if near or linked <= max(SURGE_LEAST, int(sizes[between].sum())):
-                a = out.pop()[1]
-        out.append((int(sizes[a:b].sum()), a, b))
+                a = out.pop()[0]
+        out.append((a, reach))
         last = (own, reach)
     return out
 
 
+def _moved(found: list[Line], start: int, stop: int, articles: set[int]) -> tuple[int, int]:
+    """A run's ends, moved on inside the lowest block that holds it."""
+    own = [x for x in found[start:stop] if x.size]
+    path = own[0].path
+    for x in own:
+        n = next((i for i, (p, q) in enumerate(zip(path, x.path, strict=False)) if p != q), min(len(path), len(x.path)))
+        path = path[:n]
+    if len(own) == 1 and own[0].tag not in LEAF:
+        path = path[:-1]
+    around = [i for i, p in enumerate(path) if p in articles]
+    if around:
+        path = path[: around[0] + 1]
+    kinds = {x.tag for x in own} | _HEADINGS
+    depth = len(path)
+
+    def goes_on(x: Line) -> bool:
+        if x.path[:depth] != path:
+            return False
+        return bool(around) or not x.text or (x.tag in kinds and x.size * 2 >= len(x.text) and x.parent == (path[-1] if path else -1))
+
+    while start and goes_on(found[start - 1]):
+        start -= 1
+    while stop < len(found) and goes_on(found[stop]):
+        stop += 1
+    if around:  # a window may begin or end outside the article
+        while start < stop and found[start].path[:depth] != path:
+            start += 1
+        while stop > start and found[stop - 1].path[:depth] != path:
+            stop -= 1
+    return start, stop
+
+
 def main_text(page: str | None) -> str:
     """The main text: its blocks joined by two line ends; empty if there is none."""
-    found = lines(page or "")
-    sizes = np.array([x[1] for x in found], dtype=np.int64)
-    marks = np.array([x[2] for x in found], dtype=np.int64)
+    found, articles = lines(page or "")
+    sizes = np.array([x.size for x in found], dtype=np.int64)
     sums = np.convolve(sizes, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of each line and those after it
     high = sums >= SURGE_LEAST
     edges = np.flatnonzero(np.r_[True, high[1:] != high[:-1], True])
     runs = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if high[a]]
-    if marks.any():
-        # the article with the most text in runs, or in all if nothing surges
-        weight = np.bincount(marks, np.where(high, sizes, 0)) if runs else np.bincount(marks, sizes)
-        weight[0] = -1
-        if runs and weight.max() <= 0:
-            weight = np.bincount(marks, sizes)
-            weight[0] = -1
-        own = np.flatnonzero(marks == weight.argmax())
-        start, stop = int(own[0]), int(own[-1]) + 1
-        chosen = [found[k][0] for k in range(start, stop) if marks[k] == marks[own[0]]]
-    elif runs:
-        _, start, stop = max(_joined(found, runs, sizes), key=lambda r: (r[0], -r[1]))
-        chosen = [x[0] for x in found[start : stop + WINDOW - 1]]
+    if runs:
+        # a run does not go on across the edge of an article
+        inside = [next((p for p in x.path if p in articles), -1) for x in found]
+        runs = [part for a, b in runs for part in _cut(inside, a, min(b + WINDOW - 1, len(found)))]
+        weight = lambda r: int(sizes[r[0] : r[1]].sum()) * (2 if inside[r[0]] >= 0 else 1)
+        by_article: dict[int, list[tuple[int, int]]] = {}
+        for r in runs:
+            by_article.setdefault(inside[r[0]], []).append((r[0], max(r[0] + 1, r[1] - WINDOW + 1)))
+        joined = [r for own in by_article.values() for r in (_joined(found, own, sizes) if inside[own[0][0]] < 0 else [(own[0][0], min(own[-1][1] + WINDOW - 1, len(found)))])]
+        start, stop = _moved(found, *max(joined, key=lambda r: (weight(r), -r[0])), articles)
+        chosen = [x.text for x in found[start:stop]]
     else:
-        chosen = [x[0] for x in found if x[1]]
+        in_article = [x.text for x in found if any(p in articles for p in x.path)]
+        chosen = in_article if any(in_article) else [x.text for x in found if x.size]
     return "\n\n".join(x for x in chosen if x)
 
 
+def _cut(inside: list[int], start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run of lines inside the same article, or outside all."""
+    at = start
+    for k in range(start + 1, stop + 1):
+        if k == stop or inside[k] != inside[at]:
+            yield at, k
+            at = k
+
+
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text and n_chars, its number of code points.
 
