@@ -7,8 +7,8 @@ bucket keyed by the block's hash selects those patterns, and their words are com
 
 The search is a map over the documents: nothing is shuffled.  Many positions advance at the same
 time: each document is cut into lanes of ``LANE`` window starts, and one numpy step moves all lanes.
-The tables are broadcast; a shard of the benchmark holds about ``shard_words`` words at most, and
-a benchmark of more words is searched shard by shard, whose hits are then merged per document.
+The tables are broadcast, as files, in shards of about ``shard_words`` words; a task takes some texts (about ``BATCH_BYTES``)
+and searches them with one shard after the other, so that it holds one shard at a time and the documents are scanned once.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ BLOCK = 2
 #: Window starts that one lane covers.
 LANE = 64
 SHARD_WORDS = 2_000_000
+#: Bytes of text that a task searches with each shard before it takes more.
+BATCH_BYTES = 32 << 20
 _SHIFT_BITS = 18
 
 SCHEMA = "doc_id long, n_words long, starts array<int>, ends array<int>, items array<string>"
@@ -121,32 +123,52 @@ def _spans(at: np.ndarray, length: np.ndarray) -> tuple[list[int], list[int]]:
     return starts[new].tolist(), ends[np.r_[new[1:], True]].tolist()
 
 
-def _searched(docs: DataFrame, tables) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for chunk in W.chunks(batch, "text"):
+def _searched(docs: DataFrame, shards: list) -> DataFrame:
+    """Hits of all shards, each a broadcast variable, for each row of (doc_id, text)."""
+
+    def found(chunks: list[pa.RecordBatch]):
+        hits = [defaultdict(list) for _ in chunks]
+        counts = [None] * len(chunks)
+        for shard in shards:
+            tables = shard.value
+            if len(shards) > 1:
+                vars(shard).pop("_value")  # read from the local file again next time, instead of holding every shard
+            for c, chunk in enumerate(chunks):
                 words = W.split(chunk.column(1), W.NOT_ALPHANUMERIC, lower=True)
-                hits = defaultdict(list)
-                for table in tables.value:
+                counts[c] = words.counts.astype(np.int64)
+                for table in tables:
                     at, pattern = table.search(words)
                     doc = np.searchsorted(words.first, at, side="right") - 1
                     for d, a, p in zip(doc.tolist(), at.tolist(), pattern.tolist(), strict=True):
-                        hits[d].append((a - int(words.first[d]), table.length, table.items[p]))
-                starts, ends, items = [], [], []
-                for d in range(len(chunk)):
-                    own = hits.get(d)
-                    if own:
-                        s, e = _spans(np.array([x[0] for x in own]), np.array([x[1] for x in own]))
-                    starts.append(s if own else [])
-                    ends.append(e if own else [])
-                    items.append(sorted({i for x in own for i in x[2]}) if own else [])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        chunk.column(0), pa.array(words.counts.astype(np.int64)), pa.array(starts, pa.list_(pa.int32())),
-                        pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
-                    ],
-                    names=["doc_id", "n_words", "starts", "ends", "items"],
-                )
+                        hits[c][d].append((a - int(words.first[d]), table.length, table.items[p]))
+        for c, chunk in enumerate(chunks):
+            starts, ends, items = [], [], []
+            for d in range(len(chunk)):
+                own = hits[c].get(d)
+                if own:
+                    s, e = _spans(np.array([x[0] for x in own]), np.array([x[1] for x in own]))
+                starts.append(s if own else [])
+                ends.append(e if own else [])
+                items.append(sorted({i for x in own for i in x[2]}) if own else [])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    chunk.column(0), pa.array(counts[c]), pa.array(starts, pa.list_(pa.int32())),
+                    pa.array(ends, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string())),
+                ],
+                names=["doc_id", "n_words", "starts", "ends", "items"],
+            )
+
+    def run(batches):
+        chunks, size = [], 0
+        for batch in batches:
+            for chunk in W.chunks(batch, "text"):
+                chunks.append(chunk)
+                size += chunk.nbytes
+                if size >= BATCH_BYTES:
+                    yield from found(chunks)
+                    chunks, size = [], 0
+        if chunks:
+            yield from found(chunks)
 
     return docs.mapInArrow(run, SCHEMA)
 
@@ -178,33 +200,11 @@ def benchmark_hits(
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, -(-size // (4 * shard_words)))  # a word and its gap take four characters or more, mostly
     shard = F.pmod(F.xxhash64("item", "text"), F.lit(shards))
-    found = None
+    tables = []
     for k in range(shards):
         own = [(r.item, r.text) for r in items.where(shard == k).toLocalIterator()]
-        part = _searched(docs, spark.sparkContext.broadcast(pattern_tables(own, window)))
-        found = part if found is None else found.union(part)
-    if shards == 1:
-        return found
-    return _merged(found, docs)
-
-
-def _merged(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """Rows of several shards as one per document; spans are united.  Ids must be distinct here."""
-    spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
-    step = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.element_at(acc, -1)["ends"] >= x["starts"]),
-        F.concat(
-            F.slice(acc, 1, F.size(acc) - 1),
-            F.array(F.struct(F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], x["ends"]).alias("ends"))),
-        ),
-    ).otherwise(F.concat(acc, F.array(x)))
-    united = F.aggregate("spans", F.array().cast("array<struct<starts:int,ends:int>>"), step)
-    return (
-        found.groupBy("doc_id")
-        .agg(F.max("n_words").alias("n_words"), spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-        .withColumn("spans", united)
-        .select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
-    )
+        tables.append(spark.sparkContext.broadcast(pattern_tables(own, window)))
+    return _searched(docs, tables)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -39,12 +39,19 @@ def test_contamination_small_cases(spark):
     assert {r.n_hit for r in contamination(d, b.limit(0)).collect()} == {0}
 
 
-def test_contamination_in_shards(spark):
+def test_contamination_in_shards(spark, monkeypatch):
+    """Many shards and small batches of texts give the same rows as one, repeated ones and those without an id each."""
+    from skyroute.llm import decontaminate
+
+    monkeypatch.setattr(decontaminate, "BATCH_BYTES", 2000)
     docs, items = _small()
-    docs = [d for d in docs if d[0] != 102]
+    docs += [(None, docs[5][1]), (None, docs[6][1]), docs[7]]
     items = [x for x in items if x[0] is not None]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert sorted(tuple(r) for r in contamination(d, b, shard_words=10).collect()) == sorted(brute.contamination(docs, items))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
+    expected = sorted(brute.contamination(docs, items), key=key)
+    assert sorted((tuple(r) for r in contamination(d, b, shard_words=10).collect()), key=key) == expected
+    assert sorted((tuple(r) for r in contamination(d, b).collect()), key=key) == expected
 
 
 def test_archives_of_whole_table(spark):
