@@ -8,14 +8,14 @@ its automaton meets just the passages that may match it:
    windows have equal anchors, and neighbouring windows mostly share one, so a fifth of the words stand for all.
    A semi-join of the anchors with themselves keeps those of two or more documents.
 2. *Shards.*  An anchor belongs to the first document that has it.  Runs of windows of one shard are cut out
-   of the texts and sent to that shard, in several parts if very many documents need it.
+   of the texts and sent to that shard.  A shard of very many anchors is split by a hash of the anchor, and one that very many
+   documents need is dealt in several parts by a hash of the document.
 3. *Matching.*  Each task reads a shard's own passages first, builds their suffix automaton, and then streams the
    passages of other documents through it.  Where the matching statistic reaches the window length,
    the window stands in the shard's document, which is the smallest that could hold it.
 4. *The rest.*  A window that its shard doesn't hold (the anchor is shared, the window isn't) can still
-   repeat in later documents; such windows are grouped by hash, and the smallest document keeps them.
-
-A shard over ``MOST_WORDS`` gets no automaton; all its windows go through step 4.
+   repeat in later documents.  Hashes of these windows name the smallest document of each; its leftover passages are a shard
+   again, whose automaton the later ones stream through.
 """
 
 from __future__ import annotations
@@ -35,10 +35,10 @@ from skyroute.llm.tables import packed, staged
 WINDOW = 13
 #: Words of an anchor.
 ANCHOR = 5
-#: Words of one automaton.
-MOST_WORDS = 200_000
-#: Anchors of other documents in one part of a shard.
-PART_ANCHORS = 20_000
+#: Anchors of one automaton, about a fifth of its words.
+MOST_ANCHORS = 20_000
+#: Anchors of other documents in one part of a shard, if the shard's own are not more.
+PART_ANCHORS = 2_000
 
 
 def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -77,117 +77,129 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 PASSAGE = "shard long, part int, is_other boolean, id long, start int, text binary"
+_PASSAGE_TYPES = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+
+
+def _batch(rows: list[tuple], schema: str, types: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")]
+    )
+
+
+def _parts_of(shard: int, split: int, parts: int, doc: int) -> list[int]:
+    """The parts of a shard that a passage of one of its splits goes to: all for the shard's own, one for others."""
+    if shard == doc:
+        return list(range(split * parts, (split + 1) * parts))
+    return [split * parts + int(W.mix(np.array([doc], dtype=np.int64).view(np.uint64))[0] % np.uint64(parts))]
 
 
 def _passages(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Rows of PASSAGE for packed texts with ``own``, their shared anchors (anchor, shard, parts)."""
-    names = [x.split()[0] for x in PASSAGE.split(", ")]
-    types = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()]
+    """Rows of PASSAGE for packed texts with ``own``, their shared anchors (anchor, shard, parts, splits)."""
 
     def run(batches):
         for batch in batches:
             for chunk in W.unpacked(batch, "text"):
                 words = W.split(chunk.column(1))
                 least = window_anchors(words.hashes, window, anchor)
+                whole = W.windows(words.hashes, window)
                 rows = []
                 for d, (doc, own) in enumerate(zip(chunk.column(0).to_pylist(), chunk.column(2), strict=True)):
                     own = own.values
-                    known, shards, parts = (own.field(x).to_numpy() for x in ("anchor", "shard", "parts"))
+                    known, shards, parts, splits = (own.field(x).to_numpy() for x in ("anchor", "shard", "parts", "splits"))
                     order = np.argsort(known)
-                    known, shards, parts = known[order], shards[order], parts[order]
+                    known, shards, parts, splits = known[order], shards[order], parts[order], splits[order]
                     a, b = _windows_of(words, d, window)
+                    if b == a:
+                        continue
                     at = np.minimum(np.searchsorted(known, least[a:b]), len(known) - 1)
                     hit = known[at] == least[a:b]
-                    new = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | (shards[at[1:]] != shards[at[:-1]]) & hit[1:]]) if b > a else []
+                    mine = hit & (shards[at] == doc)
+                    if mine.any():  # of a document's own windows each goes to its automaton once
+                        places = np.flatnonzero(mine)
+                        again = np.ones(len(places), dtype=bool)
+                        again[np.unique(whole[a:b][places], return_index=True)[1]] = False
+                        hit[places[again]] = False
+                    split = (W.mix(least[a:b].view(np.uint64)) % splits[at].astype(np.uint64)).astype(np.int64)
+                    same = (shards[at[1:]] == shards[at[:-1]]) & (split[1:] == split[:-1])
+                    new = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1]) | ~same & hit[1:]])
                     for s, e in zip(new, [*new[1:], b - a], strict=True):
                         if not hit[s]:
                             continue
-                        shard, n = int(shards[at[s]]), int(parts[at[s]])
+                        shard = int(shards[at[s]])
                         text = words.data[words.starts[a + s] : words.ends[a + e + window - 2]].tobytes()
-                        to = range(n) if shard == doc else [doc % n]
-                        rows += [(shard, k, shard != doc, doc, int(s), text) for k in to]
+                        rows += [(shard, k, shard != doc, doc, int(s), text) for k in _parts_of(shard, int(split[s]), int(parts[at[s]]), doc)]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield _batch(rows, PASSAGE, _PASSAGE_TYPES)
 
     return docs.mapInArrow(run, PASSAGE)
 
 
-MATCH = "id long, start int, end int, windows array<long>"
-
-
-class _Shard:
-    """Passages of one reference document, and what is found in others."""
-
-    def __init__(self, window: int, most: int):
-        self.window, self.most = window, most
-        self.automaton: SuffixAutomaton | None = SuffixAutomaton()
-        self.held: list[tuple[int, int, bytes]] = []
-        self.size = 0
-
-    def _rest(self, doc: int, start: int, text: bytes, spans: list[tuple[int, int]]) -> Iterator[tuple]:
-        """Rows with the hashes of all windows of a passage that begin in the spans."""
-        hashes = W.windows(W.split(pa.array([text], pa.large_binary())).hashes, self.window).view(np.int64)
-        for a, b in spans:
-            yield doc, start + a, None, hashes[a:b].tolist()
-
-    def own(self, part: int, doc: int, start: int, text: bytes) -> Iterator[tuple]:
-        words = text.split()
-        self.size += len(words)
-        if self.automaton is not None and self.size > self.most:
-            self.automaton = None
-            for x in self.held if part == 0 else []:
-                yield from self._rest(*x, [(0, len(x[2].split()) - self.window + 1)])
-            self.held = []
-        if self.automaton is None:
-            if part == 0:
-                yield from self._rest(doc, start, text, [(0, len(words) - self.window + 1)])
-            return
-        self.automaton.add(words)
-        self.held.append((doc, start, text))
-
-    def other(self, doc: int, start: int, text: bytes) -> Iterator[tuple]:
-        words, w = text.split(), self.window
-        if self.automaton is None:
-            yield from self._rest(doc, start, text, [(0, len(words) - w + 1)])
-            return
-        stats = np.array(self.automaton.matching_statistics(words))
-        inside = stats[w - 1 :] >= w  # for each window
-        edges = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]]).tolist()
-        rest = []
-        for a, b in zip(edges, [*edges[1:], len(inside)], strict=True):
-            if inside[a]:
-                yield doc, start + a, start + b + w - 1, None
-            else:
-                rest.append((a, b))
-        if rest:
-            yield from self._rest(doc, start, text, rest)
-
-
-def _matches(passages: DataFrame, window: int, most: int) -> DataFrame:
-    """Rows of MATCH: spans of words to remove, or (end null) windows that are not in their shard's document."""
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
-    names = [x.split()[0] for x in MATCH.split(", ")]
+def _leftover_passages(rest: DataFrame, window: int) -> DataFrame:
+    """Rows of PASSAGE for leftover passages (id, start, text, own): ``own`` has the windows (k, shard, parts) that repeat."""
 
     def run(batches):
-        key, shard, rows = None, None, []
+        for piece in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
+            rows = []
+            for doc, start, text, own in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                words = text.split()
+                own = sorted((x["k"], x["shard"], x["parts"]) for x in own)
+                first = 0
+                for i in range(1, len(own) + 1):
+                    if i == len(own) or own[i][0] != own[i - 1][0] + 1 or own[i][1] != own[first][1]:
+                        k, shard, parts = own[first]
+                        passage = b" ".join(words[k : own[i - 1][0] + window])
+                        rows += [(shard, part, shard != doc, doc, start + k, passage) for part in _parts_of(shard, 0, parts, doc)]
+                        first = i
+            if rows:
+                yield _batch(rows, PASSAGE, _PASSAGE_TYPES)
+
+    return rest.select("id", "start", "text", "own").mapInArrow(run, PASSAGE)
+
+
+MATCH = "id long, start int, end int, windows array<long>, text binary"
+_MATCH_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
+
+
+def _compared(automaton: SuffixAutomaton, window: int, doc: int, start: int, text: bytes, with_rest: bool) -> Iterator[tuple]:
+    """Rows of MATCH for a passage: the spans that the automaton holds, and the rest with the hashes of its windows."""
+    words = text.split()
+    stats = np.array(automaton.matching_statistics(words))
+    inside = stats[window - 1 :] >= window  # for each window
+    edges = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]]).tolist()
+    for a, b in zip(edges, [*edges[1:], len(inside)], strict=True):
+        if inside[a]:
+            yield doc, start + a, start + b + window - 1, None, None
+        elif with_rest:
+            left = b" ".join(words[a : b + window - 1])
+            yield doc, start + a, None, W.windows(W.split(pa.array([left], pa.large_binary())).hashes, window).view(np.int64).tolist(), left
+
+
+def _matches(passages: DataFrame, window: int, with_rest: bool) -> DataFrame:
+    """Rows of MATCH: spans of words to remove and, ``with_rest``, those (end null) that are not in their shard's document."""
+
+    def run(batches):
+        key, automaton, rows = None, SuffixAutomaton(), []
         # some hundred passages at a time become Python objects
         for piece in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
-            for at, part, is_other, doc, start, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
-                if key != (at, part):
-                    key, shard = (at, part), _Shard(window, most)
-                rows += shard.other(doc, start, text) if is_other else shard.own(part, doc, start, text)
+            for shard, part, is_other, doc, start, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
+                if key != (shard, part):
+                    key, automaton = (shard, part), SuffixAutomaton()
+                if is_other:
+                    rows += _compared(automaton, window, doc, start, text, with_rest)
+                else:
+                    automaton.add(text.split())
                 if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    yield _batch(rows, MATCH, _MATCH_TYPES)
                     rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+            yield _batch(rows, MATCH, _MATCH_TYPES)
 
     parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = passages.repartition(parts, "shard", "part").sortWithinPartitions("shard", "part", "is_other", "id", "start")
     return dealt.mapInArrow(run, MATCH)
 
 
-def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, most_words: int = MOST_WORDS) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHOR, most_anchors: int = MOST_ANCHORS, part_anchors: int = PART_ANCHORS) -> DataFrame:
     """(id, spans): for each document with words to remove, their spans (start, end), which may overlap.
 
     ``docs`` has ``id`` (long, not null) and ``text``; rows with the same id must have the same text.
@@ -201,20 +213,29 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     )
     first = shared.groupBy("anchor").agg(F.min("id").alias("shard"))
     owned = staged(shared.join(first, "anchor"), "owned-anchors")
-    # shards that very many documents need; a table of few rows, whose size decides how it is joined
-    parts = owned.groupBy("shard").agg(F.ceil(F.count("*") / PART_ANCHORS).cast("int").alias("parts"))
-    hot = staged(parts.where("parts > 1"), "hot-shards")
-    own = (
-        owned.join(hot, "shard", "left")
-        .groupBy("id")
-        .agg(F.collect_set(F.struct("anchor", "shard", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("own"))
-    )
+    # shards of very many anchors, or that very many documents need; a table of few rows, whose size decides how it is joined
+    mine = F.col("id") == F.col("shard")
+    sizes = owned.groupBy("shard").agg(F.count(F.when(mine, 1)).alias("mine"), F.count(F.when(~mine, 1)).alias("others"))
+    sizes = sizes.withColumn("splits", F.ceil(F.col("mine") / most_anchors).cast("int"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("others") / F.greatest(F.col("mine"), F.col("splits") * part_anchors)).cast("int"))
+    hot = staged(sizes.where("parts > 1 or splits > 1").select("shard", "parts", "splits"), "hot-shards")
+    one = lambda c: F.coalesce(c, F.lit(1)).alias(c)
+    own = owned.join(hot, "shard", "left").groupBy("id").agg(F.collect_set(F.struct("anchor", "shard", one("parts"), one("splits"))).alias("own"))
     passages = _passages(packed(docs).join(own, "id").select("id", "text", "own"), window, anchor)
-    matches = staged(_matches(passages, window, most_words), "matches")
-    rest = matches.where("end is null").select(F.posexplode("windows").alias("k", "hash"), "id", "start")
-    least = rest.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("hash", "least")
-    later = rest.join(least, "hash").where("id > least").select("id", (F.col("start") + F.col("k")).alias("start"))
-    spans = matches.where("end is not null").select("id", "start", "end").union(later.select("id", "start", F.col("start") + window))
+    matches = staged(_matches(passages, window, True), "matches")
+
+    rest = matches.where("end is null").select("id", "start", "windows", "text")
+    each = rest.select("id", "start", F.posexplode("windows").alias("k", "hash"))
+    least = each.groupBy("hash").agg(F.min("id").alias("shard"), F.max("id").alias("most")).where("shard < most").select("hash", "shard")
+    again = staged(each.join(least, "hash").select("id", "start", "k", "shard").distinct(), "leftover-windows")
+    sizes = again.groupBy("shard").agg(F.count(F.when(mine, 1)).alias("mine"), F.count(F.when(~mine, 1)).alias("others"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("others") / F.greatest("mine", F.lit(5 * part_anchors))).cast("int"))
+    hot = staged(sizes.where("parts > 1").select("shard", "parts"), "hot-leftovers")
+    own = again.join(hot, "shard", "left").groupBy("id", "start").agg(F.collect_list(F.struct("k", "shard", one("parts"))).alias("own"))
+    left = _leftover_passages(rest.join(own, ["id", "start"]), window)
+    second = _matches(left, window, False)
+
+    spans = matches.where("end is not null").select("id", "start", "end").union(second.select("id", "start", "end"))
     return spans.groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
@@ -228,19 +249,24 @@ def _removed(n: int, spans) -> np.ndarray:
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, most_words: int = MOST_WORDS, with_text: bool = True
-) -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_sha256 and, unless ``with_text`` is False, ``kept_text``.
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = WINDOW, most_anchors: int = MOST_ANCHORS, part_anchors: int = PART_ANCHORS,
+    with_text: bool = True, carried: tuple[str, ...] = (),
+) -> DataFrame:
+    """One row per document: id, n_words, n_removed, kept_sha256 and, unless ``with_text`` is False, ``kept_text``; then the ``carried`` columns.
 
     Words are ``[^\\x20\\x09-\\x0D]+``.  A word goes if a run of ``window`` words around it also starts in a document
     with a smaller id; runs are judged on the input.  ``kept_sha256`` is of the kept words joined by one space;
     ``kept_text`` keeps the white space between kept words as it was (null where the text is null).  A null text has
     no words.  Rows with a null id are dropped; rows that share an id must share the text and each give a row.
-    An empty table gives an empty one; other columns are ignored, whatever their names.
+    An empty table gives an empty one; columns that are not carried are ignored, whatever their names.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null")
-    spans = repeated_spans(docs, window=window, most_words=most_words)
-    schema = f"`{id_col}` long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    rest = [f"carried_{k}" for k in range(len(carried))]
+    docs = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *(F.col(c).alias(r) for c, r in zip(carried, rest, strict=True))
+    ).where("id is not null")
+    spans = repeated_spans(docs.select("id", "text"), window=window, most_anchors=most_anchors, part_anchors=part_anchors)
+    kinds = ["id long", "n_words long", "n_removed long", "kept_sha256 string", *["kept_text string"] * with_text, *(f"{r} {docs.schema[r].dataType.simpleString()}" for r in rest)]
+    names = [k.split()[0] for k in kinds]
 
     def run(batches):
         for batch in batches:
@@ -261,10 +287,10 @@ def remove_repeats(
                 arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 if with_text:
                     arrays[4] = arrays[4].cast(pa.string())
-                yield pa.RecordBatch.from_arrays(arrays, names=[id_col, "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + with_text])
+                yield pa.RecordBatch.from_arrays([*arrays, *chunk.columns[3:]], names=names)
 
-    joined = packed(docs).join(spans, "id", "left").select("id", "text", "spans")
-    return joined.mapInArrow(run, schema)
+    joined = packed(docs).join(spans, "id", "left").select("id", "text", "spans", *rest)
+    return joined.mapInArrow(run, ", ".join(kinds)).withColumnsRenamed({"id": id_col, **dict(zip(rest, carried, strict=True))})
 
 
 def _cut(words: W.Words, a: int, gone: np.ndarray) -> bytes:

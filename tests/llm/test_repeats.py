@@ -32,11 +32,25 @@ def corpus(seed=5, n=60):
 EDGES = [(1, None), (2, ""), (3, " "), (4, "a " * 12), (5, "a " * 13), (6, "a " * 14), (7, "b " * 30), (8, "B " * 30), (9, "é " * 20), (10, "é " * 20)]
 
 
-@pytest.mark.parametrize("most_words", [200_000, 20])
-def test_against_brute_force(spark, most_words):
-    """With a low limit most shards have no automaton, and all goes through the hashes."""
+@pytest.mark.parametrize(("most_anchors", "part_anchors"), [(20_000, 2_000), (3, 2)])
+def test_against_brute_force(spark, most_anchors, part_anchors):
+    """With low limits shards are split by anchor and dealt in parts by document."""
     rows = corpus() + EDGES
-    assert removed(spark, rows, most_words=most_words) == sorted(brute.without_repeats(rows))
+    assert removed(spark, rows, most_anchors=most_anchors, part_anchors=part_anchors) == sorted(brute.without_repeats(rows))
+
+
+def test_anchors_without_their_windows(spark):
+    """The first document has the anchors only; later ones share windows, some with words between, in two groups."""
+    rng = random.Random(12)
+    anchor = ["aa", "bb", "cc", "dd", "ee"]
+    rows = [(0, " ".join(f"x{k} {' '.join(anchor)} y{k}" for k in range(5)))]
+    for group in range(2):
+        own = [f"g{group}w{k}" for k in range(9)]
+        passage = [*own, *anchor, *reversed(own)]
+        for i in range(1, 9):
+            rows.append((10 * i + group, " ".join([f"d{i}"] * rng.randrange(3) + passage[rng.randrange(6) :] + [f"e{i}"] + passage)))
+    for limits in ({}, {"most_anchors": 2, "part_anchors": 1}):
+        assert removed(spark, rows, **limits) == sorted(brute.without_repeats(rows))
 
 
 def test_text_that_is_kept(spark):
@@ -53,6 +67,14 @@ def test_empty_repeated_and_clashing_columns(spark):
     assert sorted((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(df).collect()) == [(1, 20, 0), (1, 20, 0), (2, 20, 20)]
 
 
+def test_carried_columns_of_repeated_rows(spark):
+    """Each row keeps its own columns, also where an id repeats; a document that repeats its own line keeps all of it."""
+    run = " ".join(f"r{i}" for i in range(20))
+    df = spark.createDataFrame([(1, run, 1, "a"), (1, run, 2, "b"), (2, f"own {run}", 3, None), (3, " ".join([run] * 40), 4, "d")], "doc_id long, text string, n_words int, id string")
+    got = remove_repeats(df.withColumnsRenamed({"n_words": "n", "id": "kind"}), carried=("n", "kind"))
+    assert sorted((r.doc_id, r.n, r.kind or "", r.kept_text) for r in got.collect()) == [(1, 1, "a", run), (1, 2, "b", run), (2, 3, "", "own "), (3, 4, "d", "")]
+
+
 def test_long_text(spark):
     rng = random.Random(8)
     long = [f"t{rng.randrange(3000)}" for _ in range(40_000)]
