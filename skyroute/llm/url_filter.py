@@ -34,6 +34,8 @@ RULES = (
 BITS_PER_KEY, HASHES = 8, 4
 #: Most bytes of all levels that are broadcast.
 MAX_BYTES = 64 << 20
+#: Bit words that are put together at a time.
+_STRETCH = 4096
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -102,10 +104,13 @@ def _level_words(keys: DataFrame, level: int, bits: int) -> DataFrame:
 
 
 def _dense(words: DataFrame, bits: list[int]) -> DataFrame:
-    """One row: the words of all levels on end, zeros filled in."""
+    """One row: the words of all levels on end, zeros filled in.  Words are first put together in stretches of ``_STRETCH``."""
     base = F.element_at(F.array(*(F.lit(sum(bits[:k]) // 64) for k in range(len(bits)))), F.col("level") + 1)
-    entries = words.groupBy().agg(F.map_from_entries(F.collect_list(F.struct((base + F.col("word")).alias("k"), "value"))).alias("m"))
-    return entries.select(F.transform(F.sequence(F.lit(0), F.lit(sum(bits) // 64 - 1)), lambda i: F.coalesce(F.try_element_at("m", i.cast("long")), F.lit(0).cast("long"))).alias("words"))
+    zeros = words.sparkSession.range(sum(bits) // 64).select(F.col("id").alias("at"), F.lit(0).cast("long").alias("value"))
+    every = words.select((base + F.col("word")).alias("at"), "value").union(zeros).groupBy("at").agg(F.bit_or("value").alias("value"))
+    in_order = lambda key, value: F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda x: x[value])
+    stretches = every.groupBy(F.floor(F.col("at") / _STRETCH).alias("stretch")).agg(in_order("at", "value").alias("part"))
+    return stretches.groupBy().agg(F.flatten(in_order("stretch", "part")).alias("words"))
 
 
 def build_cascade(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_BYTES) -> Cascade | None:
