@@ -4,7 +4,7 @@
 fitted on at most ``max_labelled`` labelled documents, those with the least hash of their id, and applied to every document by a map.
 
 *Sites.*  The rates of each path (a part of a host) and host are Beta posteriors whose prior mean is the level above:
-global, host, path.  The prior strength of a level is estimated from the spread of its groups' rates beyond what chance
+global, host, path.  The prior strength of a level is estimated from the spread of its groups' rates around the level above beyond what chance
 gives, so sparse sites shrink to what is above them and large ones keep their own rate.  Everything about sites is
 a grouped sum over all documents; a hot host is summed up before it is shuffled.
 
@@ -193,16 +193,37 @@ def evidence(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, ", ".join([*kinds, "n_words long", "low double", "toxic double"]))
 
 
-def _strength(groups: DataFrame, mean: float, head: str) -> float:
-    """Prior strength of a level, by moments: how far the rates of its groups spread beyond chance."""
+def _limited(within: float, squares: float, chance: float, effective: float) -> float:
+    """Prior strength from how far the rates of groups spread beyond chance."""
+    spread = max((squares - chance) / max(effective, 1e-9), 1e-9)
+    return float(min(max(within / spread - 1, 1.0), 1e6))
+
+
+def _host_strength(hosts: DataFrame, mean: float, head: str) -> float:
+    """Prior strength of hosts, by moments of their rates around the mean of all."""
     r = F.col(head) / F.col("n")
-    x = groups.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (r - mean) ** 2).alias("s"), F.sum(F.col("n") ** 2).alias("n2"), F.count("*").alias("k")).first()
+    x = hosts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * (r - mean) ** 2).alias("s"), F.sum(F.col("n") ** 2).alias("n2"), F.count("*").alias("k")).first()
     if not x.k or x.k < 2 or x.n <= x.k:
         return 1.0
     within = mean * (1 - mean)
-    effective = x.n - x.n2 / x.n
-    spread = max((x.s - (x.k - 1) * within) / max(effective, 1e-9), 1e-9)
-    return float(min(max(within / spread - 1, 1.0), 1e6))
+    return _limited(within, x.s, (x.k - 1) * within, x.n - x.n2 / x.n)
+
+
+def _path_strength(paths: DataFrame, head: str) -> float:
+    """Prior strength of paths, by moments of their rates around those of their hosts; differences between hosts play no part."""
+    n, total = F.col("n"), F.sum(head)
+    host = paths.groupBy("host").agg(
+        F.sum(n).alias("n"), (total / F.sum(n)).alias("m"), F.count("*").alias("k"), (F.sum(F.col(head) ** 2 / n) - total**2 / F.sum(n)).alias("s"),
+        (F.sum(n) - F.sum(n**2) / F.sum(n)).alias("effective"),
+    )
+    within = F.col("m") * (1 - F.col("m"))
+    x = host.agg(
+        F.sum("n").alias("n"), F.sum("k").alias("k"), F.sum("s").alias("s"), F.sum("effective").alias("effective"), F.sum((F.col("k") - 1) * within).alias("chance"),
+        (F.sum(F.col("n") * within) / F.sum("n")).alias("within"), F.max("k").alias("most"),
+    ).first()
+    if not x.k or x.most < 2 or x.n <= x.k:
+        return 1.0
+    return _limited(x.within, x.s, x.chance, x.effective)
 
 
 def _logit(p: Column) -> Column:
@@ -242,7 +263,7 @@ def judged(
     rates = {}
     for k, h in enumerate(HEADS):
         mean = (total[h] + float(model.prior[k])) / (total.n + 1) if total.n else float(model.prior[k])
-        rates[h] = mean, _strength(hosts, mean, h), _strength(paths, mean, h)
+        rates[h] = mean, _host_strength(hosts, mean, h), _path_strength(paths, h)
     site = hosts.select("host", *(((F.col(h) + rates[h][1] * rates[h][0]) / (F.col("n") + rates[h][1])).alias(f"host_{h}") for h in HEADS))
     site = (
         paths.withColumnsRenamed({"host": "h2", "n": "path_n", **{h: f"path_sum_{h}" for h in HEADS}})

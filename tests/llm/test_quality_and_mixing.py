@@ -38,15 +38,24 @@ def _posterior(rows, prior):
         paths[h, p].append(x)
     mean = (sum(x for *_, x in rows) + prior) / (n + 1)
 
-    def strength(groups):
-        k = len(groups)
-        if k < 2 or n <= k:
-            return 1.0
-        spread = sum(len(g) * (sum(g) / len(g) - mean) ** 2 for g in groups) - (k - 1) * mean * (1 - mean)
-        spread = max(spread / max(n - sum(len(g) ** 2 for g in groups) / n, 1e-9), 1e-9)
-        return min(max(mean * (1 - mean) / spread - 1, 1.0), 1e6)
-
-    a, b = strength(list(hosts.values())), strength(list(paths.values()))
+    def limited(within, spread, effective):
+        return min(max(within / max(spread / max(effective, 1e-9), 1e-9) - 1, 1.0), 1e6)
+
+    def squares(groups, m):
+        return sum(len(g) * (sum(g) / len(g) - m) ** 2 for g in groups)
+
+    def effective(groups):
+        return sum(map(len, groups)) - sum(len(g) ** 2 for g in groups) / sum(map(len, groups))
+
+    whole = list(hosts.values())
+    a = limited(mean * (1 - mean), squares(whole, mean) - (len(whole) - 1) * mean * (1 - mean), effective(whole)) if 1 < len(whole) < n else 1.0
+    spread = size = within = 0  # of the paths, around the rates of their hosts
+    for h, g in hosts.items():
+        own, m = [x for (h2, _), x in paths.items() if h2 == h], sum(g) / len(g)
+        spread += squares(own, m) - (len(own) - 1) * m * (1 - m)
+        size += effective(own)
+        within += len(g) * m * (1 - m) / n
+    b = limited(within, spread, size) if len(hosts) < len(paths) < n else 1.0
     host = {h: (sum(g) + a * mean) / (len(g) + a) for h, g in hosts.items()}
     return {(h, p): (sum(g), len(g), host[h], b) for (h, p), g in paths.items()}
 
@@ -72,6 +81,15 @@ def test_shrinkage_against_plain_version(spark):
             assert not seen[i].keep and seen[i].n_words == 0
 
 
+def test_paths_of_differing_hosts_shrink_to_their_host(spark):
+    """Hosts differ much and their paths not at all: a sparse path has its host's rate, whatever the other hosts are like."""
+    rows = [(h, p, float(i % 10 < (9 if h == "bad" else 1))) for h in ("good", "bad") for p in range(20) for i in range(50)] + [("bad", 99, 0.0)]
+    paths = spark.createDataFrame(rows, "host string, path long, low double").groupBy("host", "path").agg({"low": "sum", "*": "count"}).toDF("host", "path", "low", "n")
+    assert quality._path_strength(paths, "low") > 1000
+    hosts = paths.groupBy("host").agg({"low": "sum", "n": "sum"}).toDF("host", "low", "n").select("host", "n", "low")
+    assert quality._host_strength(hosts, 0.5, "low") < 10
+
+
 def test_quality_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "a b", "s", "l")], "doc_id long, text string, source string, lang string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
