@@ -43,14 +43,39 @@ def aero_sweep(grid: DataFrame) -> DataFrame:
     )
 
 
+#: Steps of thrust and of kv in the grid of ``_worth_trying``.
+_STEPS = 32
+
+
+def _worth_trying(motors: DataFrame, top: int) -> DataFrame:
+    """Motors (motor_id, kv, thrust_g, motor_mass_g) without those that ``top`` lighter ones surpass in both thrust and kv.
+
+    Whatever design one of the latter can carry, the others can, too.  Motors are compared in a grid of quantiles, whose cells keep their lightest;
+    the grid has a fixed size, so what is broadcast and what meets in pairs does not grow with the motors.
+    """
+    cuts = motors.agg(*(F.percentile_approx(c, [k / _STEPS for k in range(1, _STEPS)], 1000).alias(c) for c in ("thrust_g", "kv"))).first()
+    step = lambda c: sum((F.when(F.col(c) >= v, 1).otherwise(0) for v in sorted(set(cuts[c] or []))), F.lit(0))
+    cell = motors.withColumns({"ct": step("thrust_g"), "ck": step("kv")})
+
+    def lightest(rows: DataFrame) -> DataFrame:
+        order = Window.partitionBy("ct", "ck").orderBy("motor_mass_g", "motor_id")
+        return rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= top)
+
+    best = lightest(cell.select("ct", "ck", "motor_mass_g", "motor_id")).drop("i").where("ct > 0 and ck > 0")
+    lower = best.withColumn("ct", F.explode(F.sequence(F.lit(0), F.col("ct") - 1))).withColumn("ck", F.explode(F.sequence(F.lit(0), F.col("ck") - 1)))
+    last = lightest(lower).where(F.col("i") == top).select("ct", "ck", F.struct("motor_mass_g", "motor_id").alias("last"))
+    kept = cell.join(F.broadcast(last), ["ct", "ck"], "left").where(F.col("last").isNull() | (F.struct("motor_mass_g", "motor_id") <= F.col("last")))
+    return kept.select("motor_id", "kv", "thrust_g", "motor_mass_g")
+
+
 def propulsion_sweep(designs: DataFrame, motors: DataFrame, top: int = 3) -> DataFrame:
     """The ``top`` lightest motors (motor_id, kv, thrust_g, mass_g) that can carry each design (design_id, mass_g, speed_ms).
 
     Feasible: thrust of 1.5 times the mass, and a pitch of 0.30 m at most for the speed / 0.65 at the turns of kv and
-    4 to 7 cells of 3.7 V.  Designs meet only motors in the thrust bins that suffice.
+    4 to 7 cells of 3.7 V.  Designs meet only motors that no lighter ones surpass throughout, in the thrust bins that suffice.  Ids of motors are distinct.
     """
     bin_g = 100
-    m = motors.select("motor_id", "kv", "thrust_g", F.col("mass_g").alias("motor_mass_g"), F.explode(F.sequence(F.lit(4), F.lit(7))).alias("cells"))
+    m = _worth_trying(motors.select("motor_id", "kv", "thrust_g", F.col("mass_g").alias("motor_mass_g")), top).select("*", F.explode(F.sequence(F.lit(4), F.lit(7))).alias("cells"))
     m = m.withColumn("bin", F.explode(F.sequence(F.lit(0), F.floor(F.col("thrust_g") / bin_g))))
     d = designs.withColumn("bin", F.floor(1.5 * F.col("mass_g") / bin_g))
     pitch = F.col("speed_ms") / 0.65 / (F.col("kv") * F.col("cells") * 3.7 / 60)
