@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The colours (blue, green, red) of the labels, of the background and of pixels to ignore.
-LABEL_COLORS = {"building": (75, 25, 230), "water": (48, 130, 245), "vegetation": (75, 180, 60), "background": (255, 255, 255)}
+#: The colours (blue, green, red) of the drone images' labels, of their background and of pixels to ignore.
+LABEL_COLORS = {
+    "building": (75, 25, 230), "clutter": (180, 30, 145), "vegetation": (75, 180, 60), "water": (48, 130, 245), "car": (200, 130, 0), "background": (255, 255, 255),
+}
+#: The colours of the orthophotos' labels and of their background.
+ORTHO_COLORS = {"building": (28, 26, 227), "water": (170, 95, 30), "background": (0, 0, 0)}
 IGNORE_COLOR = (255, 0, 255)
 
 

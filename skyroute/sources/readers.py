@@ -76,8 +76,12 @@ def read_chip_offsets(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_run_history(spark: SparkSession, path: str) -> DataFrame:
-    """(run, epoch, metric, value) of JSON lines {run, metrics: {name: [value per epoch]}}; epochs count from 1."""
-    rows = spark.read.schema("run string, metrics map<string,array<double>>").json(path)
+    """(run, epoch, metric, value) of files that hold one run each, {metric: [value per epoch]}; epochs count from 1.
+
+    The run is the file's name without ``.json`` and ``_metrics``.  A file that is no such map gives no rows.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"(_metrics)?\.json$", "").alias("run"), "value")
+    rows = files.select("run", F.from_json("value", "map<string,array<double>>").alias("metrics"))
     return rows.select("run", F.explode("metrics").alias("metric", "values")).select("run", "metric", F.posexplode("values").alias("i", "value")).select(
         "run", (F.col("i") + 1).cast("long").alias("epoch"), "metric", "value"
     )
