@@ -186,8 +186,8 @@ def bbox_intersects(spark, sf):
 
 
 _NODES = f"""{O.OBSTACLES}, {O.WATERS}, every AS (
-  SELECT area, polygon_id * 10000 + ring_idx * 1000 + vertex_idx node_id, 'obstacle' kind, x, y, left_x, left_y, right_x, right_y FROM obst
-  UNION ALL SELECT area, 10000000000000 + polygon_id * 10000 + ring_idx * 1000 + vertex_idx, 'water', x, y, left_x, left_y, right_x, right_y FROM lake
+  SELECT area, CAST(polygon_id AS BIGINT) * 268435456 + ring_idx * 1048576 + vertex_idx node_id, 'obstacle' kind, x, y, left_x, left_y, right_x, right_y FROM obst
+  UNION ALL SELECT area, 4611686018427387904 + CAST(polygon_id AS BIGINT) * 268435456 + ring_idx * 1048576 + vertex_idx, 'water', x, y, left_x, left_y, right_x, right_y FROM lake
 )"""
 _PAIR = f"""({O.distance('a.x', 'a.y', 'b.x', 'b.y')} <= 0.5 OR (
     NOT (a.kind = 'obstacle' AND {O.enters('a', 'b.x', 'b.y')}) AND NOT (b.kind = 'obstacle' AND {O.enters('b', 'a.x', 'a.y')})
@@ -199,7 +199,7 @@ _GRAPH = f"""edges AS (
 )"""
 
 
-@query(f"""WITH {O.OBSTACLES}, p AS (SELECT area, polygon_id * 10000 + vertex_idx node_id, x, y FROM obst) SELECT a.node_id src, b.node_id dst FROM p a JOIN p b
+@query(f"""WITH {O.OBSTACLES}, p AS (SELECT area, CAST(polygon_id AS BIGINT) * 268435456 + vertex_idx node_id, x, y FROM obst) SELECT a.node_id src, b.node_id dst FROM p a JOIN p b
   ON a.area = b.area AND a.node_id < b.node_id AND abs(a.x - b.x) <= 12 AND {O.distance('a.x', 'a.y', 'b.x', 'b.y')} <= 12""")
 def same_location_pairs(spark, sf):
     """With a tolerance of 12 units, so that the towns have such pairs."""
@@ -207,7 +207,7 @@ def same_location_pairs(spark, sf):
     return spatial.same_location_pairs(nodes, 12.0)
 
 
-@query(f"""WITH {O.OBSTACLES}, every AS (SELECT area, polygon_id * 10000 + vertex_idx node_id, 'obstacle' kind, x, y, left_x, left_y, right_x, right_y FROM obst), {_GRAPH}
+@query(f"""WITH {O.OBSTACLES}, every AS (SELECT area, CAST(polygon_id AS BIGINT) * 268435456 + vertex_idx node_id, 'obstacle' kind, x, y, left_x, left_y, right_x, right_y FROM obst), {_GRAPH}
   SELECT src, dst, round(length, 6) length FROM edges""")
 def visible_pairs(spark, sf):
     nodes = graph.node_table(_obstacles(spark, sf), "obstacle", 0)
@@ -215,7 +215,7 @@ def visible_pairs(spark, sf):
     return pairs.select("src", "dst", F.round("length", 6).alias("length"))
 
 
-@query(f"""WITH {O.REQUESTS}, {O.WATERS}, w AS (SELECT area, polygon_id * 10000 + vertex_idx node_id, x, y FROM lake)
+@query(f"""WITH {O.REQUESTS}, {O.WATERS}, w AS (SELECT area, CAST(polygon_id AS BIGINT) * 268435456 + vertex_idx node_id, x, y FROM lake)
   SELECT request_id, node_id, CAST(row_number() OVER (PARTITION BY request_id ORDER BY {O.distance('x', 'y', 'end_x', 'end_y')}, node_id) AS INTEGER) place
   FROM reqs JOIN w USING (area) WHERE {O.distance('start_x', 'start_y', 'x', 'y')} <= max_initial""")
 def recharge_candidates(spark, sf):

@@ -107,10 +107,23 @@ def pair_examples(spark, sf):
 @query("""WITH h AS (SELECT CAST(user_id AS VARCHAR) run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) epoch, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)
 SELECT run, epoch, 'val_loss' metric, value FROM h""")
 def read_run_history(spark, sf):
-    path = scratch(spark, "history")
-    h = world.history(spark, sf)
-    h.select(F.to_json(F.struct(F.col("run").cast("string").alias("run"), F.create_map(F.lit("val_loss"), "val_loss").alias("metrics"))).alias("value")).write.text(path)
-    return readers.read_run_history(spark, path)
+    """The runs, each in a file of its name that the task with the run writes, read back."""
+    from pyarrow import fs
+
+    folder = scratch(spark, "history")
+
+    def write(batches):
+        for batch in batches:
+            store, root = fs.FileSystem.from_uri(folder)
+            store.create_dir(root, recursive=True)
+            for run, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with store.open_output_stream(f"{root}/{run}_metrics.json") as f:
+                    f.write(text.encode())
+            yield batch.select(["run"])
+
+    rows = world.history(spark, sf).select(F.col("run").cast("string").alias("run"), F.to_json(F.struct("val_loss")).alias("text"))
+    rows.mapInArrow(write, "run string").write.parquet(scratch(spark, "runs"))
+    return readers.read_run_history(spark, f"{folder}/*_metrics.json")
 
 
 @query(f"""WITH {O.RINGS} SELECT k polygon_id, 'building' AS "type", CAST(count(*) AS INTEGER) rings, CAST(sum(len(pts) + 1) AS INTEGER) points FROM rings GROUP BY k""")
@@ -237,11 +250,14 @@ def grb_to_internal(spark, sf):
     return projections.grb_to_internal(t, "gx", "gy").select("o_orderkey", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
 
 
-@query()
+@query(f"""WITH {O.RINGS}, h AS (SELECT *, CASE WHEN k % 7 = 0 AND k % 4 <> 0 THEN s - 2 * (s // 4) ELSE 0 END hole FROM parts)
+SELECT area, k polygon_id, round(CASE WHEN k % 4 = 0 THEN 0.75 * s * s + 20 * s + 125 * sqrt(0.5) - 25 ELSE s * s + 20 * s + 100 * sqrt(0.5) END
+  - CASE WHEN hole > 10 THEN (hole - 10) * (hole - 10) ELSE 0 END, 3) size FROM h""")
 def buffer_polygons(spark, sf):
-    """Buildings moved out by ten units."""
-    moved = shapes.buffer_polygons(world.obstacles(spark, sf), 10.0)
-    return moved.select("area", "polygon_id", F.round(G.signed_area(F.element_at("rings", 1)), 6).alias("size"))
+    """Buildings grown by five units: the size of each, without what is left of its courtyard."""
+    grown = overlay.buffer_polygons(vertices.normalize_winding(world.obstacles(spark, sf, raw=True)), 5.0)
+    size = F.aggregate("rings", F.lit(0.0), lambda a, r: a + G.signed_area(r))
+    return grown.select("area", "polygon_id", F.round(size, 3).alias("size"))
 
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyroute.functions import geometry as G
 from skyroute.operators.vertices import boxes, explode_vertices, ring_edges
+from skyroute.sources.staging import cut
 
 #: Side of a grid cell and height of a band, in coordinate units.
 CELL = 100.0
@@ -17,21 +18,25 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
 
     ``how``: inner gives (point_id, polygon_id) pairs; semi and anti give the points inside any, or none.
     Each polygon edge lies in the bands of y it spans and each point in one band, so that an edge right of a point is
-    counted once; an odd count is inside.  Points on a boundary are not inside if exact arithmetic tells.
+    counted once; an odd count is inside.  Points on a boundary are not inside: corners and level edges exactly, others as far as doubles tell.
     """
-    edges = ring_edges(explode_vertices(polygons)).where("y1 <> y2").join(boxes(polygons), ["area", "polygon_id"])
+    edges = ring_edges(explode_vertices(polygons)).join(boxes(polygons), ["area", "polygon_id"])
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     edges = edges.withColumn("band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
     probes = points.select("area", "point_id", "x", "y", F.floor(F.col("y") / band).alias("band"))
     e = edges.drop("ring_idx", "vertex_idx")
-    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    spans = (F.least("y1", "y2") <= F.col("y")) & (F.col("y") < F.greatest("y1", "y2"))
+    flat = F.col("y1") == F.col("y2")
+    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
+    crossing = ~flat & (low <= F.col("y")) & (F.col("y") < high) & (at > F.col("x"))
+    at_end = ((F.col("x") == F.col("x1")) & (F.col("y") == F.col("y1"))) | ((F.col("x") == F.col("x2")) & (F.col("y") == F.col("y2")))
+    beside = F.when(flat, F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2"))).otherwise(at == F.col("x"))
+    touching = at_end | (F.col("y").between(low, high) & beside)
     pairs = (
         probes.join(e, ["area", "band"])
         .where((F.col("x") > F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("y") > F.col("min_y")) & (F.col("y") < F.col("max_y")))
-        .where(spans & (at >= F.col("x")))
+        .where(crossing | touching)
         .groupBy("area", "point_id", "polygon_id")
-        .agg(F.count("*").alias("n"), F.sum(F.when(at == F.col("x"), 1).otherwise(0)).alias("touching"))
+        .agg(F.count(F.when(crossing, 1)).alias("n"), F.count(F.when(touching, 1)).alias("touching"))
         .where("n % 2 = 1 and touching = 0")
         .select("area", "point_id", "polygon_id")
     )
@@ -137,6 +142,7 @@ def seen(pairs: DataFrame, obstacle_edges: DataFrame, *, cell: float = 50.0, tol
         if taut:
             pairs = pairs.where(F.col("near") | ~F.col(f"{s}_is_obstacle") | F.col(f"{s}_loose") | G.is_tangent(f"{o}_x", f"{o}_y", *ends[s]))
     pairs = pairs.select(F.col("a_area").alias("area"), F.col("a_node_id").alias("src"), F.col("b_node_id").alias("dst"), "a_x", "a_y", "b_x", "b_y", "length", "near")
+    pairs = cut(pairs, "pairs")  # what is left after the corners; read for the ways and for the answer
     ways = _in_cells(pairs.where("not near"), "a_x", "a_y", "b_x", "b_y", cell)
     corner = ["right_x", "right_y"] if "right_x" in obstacle_edges.columns else []
     edges = _in_cells(obstacle_edges.select("area", "x1", "y1", "x2", "y2", *corner), "x1", "y1", "x2", "y2", cell)

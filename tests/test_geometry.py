@@ -95,3 +95,52 @@ def test_affine(spark):
     assert tuple(got) == (106.0, 42.0, 3, 3)
     with pytest.raises(Exception, match="rotated"):
         one(spark, *G.pixel_to_geo(3, 4, 100.0, 2.0, 0.5, 50.0, 0.0, -2.0))
+
+
+def _ells():
+    """The same notched building in its four mirrored positions, wound counter-clockwise."""
+    ring = [(0, 0), (4, 0), (4, 2), (2, 2), (2, 4), (0, 4)]
+    out = []
+    for mx, my in ((1, 1), (-1, 1), (1, -1), (-1, -1)):
+        moved = [(x if mx > 0 else 4 - x, y if my > 0 else 4 - y) for x, y in ring]
+        out.append(moved if mx * my > 0 else moved[::-1])
+    return out
+
+
+def _inside(ring, x, y):
+    """Strictly inside, by quarter squares: the building is made of four squares of side 2, one of them missing."""
+    corner = next((cx, cy) for cx in (0, 4) for cy in (0, 4) if (cx, cy) not in ring)
+    in_notch = abs(x - corner[0]) <= 2 and abs(y - corner[1]) <= 2
+    return 0 < x < 4 and 0 < y < 4 and not in_notch
+
+
+def test_boundaries_of_mirrored_buildings(spark):
+    from skyroute.operators.graph import graph_nodes
+    from skyroute.operators.spatial import points_in_polygons
+
+    close = lambda r: [{"x": float(x), "y": float(y)} for x, y in [*r, r[0]]]
+    rings = _ells()
+    polygons = spark.createDataFrame([(k, 10**9 + k, [close(r)]) for k, r in enumerate(rings)], "area int, polygon_id long, rings array<array<struct<x:double,y:double>>>")
+    grid = [(k, 1000 * k + 10 * i + j, i / 2, j / 2) for k in range(4) for i in range(-1, 10) for j in range(-1, 10)]
+    points = spark.createDataFrame(grid, "area int, point_id long, x double, y double")
+    for band in (100.0, 1.5):
+        got = {r.point_id for r in points_in_polygons(points, polygons, band=band).collect()}
+        assert got == {n for k, n, x, y in grid if _inside(rings[k], x, y)}
+    assert graph_nodes(polygons, None).count() == 24
+
+    # two buildings that share a wall, and one that stands inside another: only the latter's corners are no nodes
+    square = lambda x, y, s: close([(x, y), (x + s, y), (x + s, y + s), (x, y + s)])
+    walls = spark.createDataFrame([(0, 1, [square(0, 0, 4)]), (0, 2, [square(4, 0, 4)]), (0, 3, [square(5, 1, 2)])], polygons.schema)
+    assert graph_nodes(walls, None).count() == 8
+
+
+def test_nodes_of_large_rings_have_ids_of_their_own(spark):
+    from skyroute.operators.graph import graph_nodes
+
+    ring = [(float(math.cos(k / 1200 * 2 * math.pi)), float(math.sin(k / 1200 * 2 * math.pi))) for k in range(1200)]
+    hole = [(0.1, 0.1), (0.1, 0.2), (0.2, 0.2), (0.2, 0.1)]
+    close = lambda r: [{"x": x, "y": y} for x, y in [*r, r[0]]]
+    schema = "area int, polygon_id long, rings array<array<struct<x:double,y:double>>>"
+    big = spark.createDataFrame([(0, 10**9, [close(ring), close(hole)]), (0, 10**9 + 1, [close([(x + 5, y) for x, y in ring])])], schema)
+    nodes = graph_nodes(big, big.selectExpr("area + 1 as area", "polygon_id", "rings"))
+    assert nodes.count() == nodes.select("node_id").distinct().count() == 2 * 2404
