@@ -37,8 +37,8 @@ WINDOW = 13
 ANCHOR = 5
 #: Anchors of one automaton, about a fifth of its words.
 MOST_ANCHORS = 20_000
-#: Anchors of other documents in one part of a shard, if the shard's own are not more.
-PART_ANCHORS = 2_000
+#: Anchors of other documents in one part of a shard, and how many of its own each of them has to make up for: every part has these again.
+PART_ANCHORS, PER_OWN = 4_000, 4
 
 
 def window_anchors(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -160,34 +160,74 @@ MATCH = "id long, start int, end int, windows array<long>, text binary"
 _MATCH_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.binary()]
 
 
-def _compared(automaton: SuffixAutomaton, window: int, doc: int, start: int, text: bytes, with_rest: bool) -> Iterator[tuple]:
-    """Rows of MATCH for a passage: the spans that the automaton holds, and the rest with the hashes of its windows."""
-    words = text.split()
-    stats = np.array(automaton.matching_statistics(words))
-    inside = stats[window - 1 :] >= window  # for each window
-    edges = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]]).tolist()
-    for a, b in zip(edges, [*edges[1:], len(inside)], strict=True):
-        if inside[a]:
-            yield doc, start + a, start + b + window - 1, None, None
-        elif with_rest:
-            left = b" ".join(words[a : b + window - 1])
-            yield doc, start + a, None, W.windows(W.split(pa.array([left], pa.large_binary())).hashes, window).view(np.int64).tolist(), left
+class _Shard:
+    """Passages of one reference, and what is found of others in them.
+
+    The automaton is built when the first passage comes that is not, as a whole, one of the reference's; of passages that are equal, as in
+    groups of copies, one is looked up (the last ``_REMEMBERED`` bytes of passages are remembered).
+    """
+
+    _REMEMBERED = 4 << 20
+
+    def __init__(self, window: int):
+        self.window, self.passages, self.whole, self.automaton = window, [], set(), None
+        self.known: dict[bytes, list[tuple]] = {}
+        self.size = 0
+
+    def add(self, text: bytes) -> None:
+        self.passages.append(text)
+        self.whole.add(text)
+
+    def _found(self, text: bytes) -> list[tuple]:
+        """(first word, end, None, None) of spans that the reference holds, and (first word, None, window hashes, text) of the rest."""
+        words, w = text.split(), self.window
+        if self.automaton is None:
+            if text in self.whole:
+                return [(0, len(words), None, None)]
+            self.automaton = SuffixAutomaton()
+            for passage in self.passages:
+                self.automaton.add(passage.split())
+        inside = np.array(self.automaton.matching_statistics(words))[w - 1 :] >= w  # for each window
+        edges = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]]).tolist()
+        out = []
+        for a, b in zip(edges, [*edges[1:], len(inside)], strict=True):
+            if inside[a]:
+                out.append((a, b + w - 1, None, None))
+            else:
+                left = b" ".join(words[a : b + w - 1])
+                out.append((a, None, W.windows(W.split(pa.array([left], pa.large_binary())).hashes, w).view(np.int64).tolist(), left))
+        return out
+
+    def compared(self, doc: int, start: int, text: bytes, with_rest: bool) -> Iterator[tuple]:
+        """Rows of MATCH for a passage of another document."""
+        found = self.known.get(text)
+        if found is None:
+            found = self._found(text)
+            if self.size + len(text) > self._REMEMBERED:
+                self.known, self.size = {}, 0
+            self.known[text] = found
+            self.size += len(text)
+        for a, end, hashes, left in found:
+            if end is not None:
+                yield doc, start + a, start + end, None, None
+            elif with_rest:
+                yield doc, start + a, None, hashes, left
 
 
 def _matches(passages: DataFrame, window: int, with_rest: bool) -> DataFrame:
     """Rows of MATCH: spans of words to remove and, ``with_rest``, those (end null) that are not in their shard's document."""
 
     def run(batches):
-        key, automaton, rows = None, SuffixAutomaton(), []
+        key, reference, rows = None, _Shard(window), []
         # some hundred passages at a time become Python objects
         for piece in (batch.slice(k, 500) for batch in batches for k in range(0, len(batch), 500)):
             for shard, part, is_other, doc, start, text in zip(*(c.to_pylist() for c in piece.columns), strict=True):
                 if key != (shard, part):
-                    key, automaton = (shard, part), SuffixAutomaton()
+                    key, reference = (shard, part), _Shard(window)
                 if is_other:
-                    rows += _compared(automaton, window, doc, start, text, with_rest)
+                    rows += reference.compared(doc, start, text, with_rest)
                 else:
-                    automaton.add(text.split())
+                    reference.add(text)
                 if len(rows) >= 2000:
                     yield _batch(rows, MATCH, _MATCH_TYPES)
                     rows = []
@@ -217,7 +257,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     mine = F.col("id") == F.col("shard")
     sizes = owned.groupBy("shard").agg(F.count(F.when(mine, 1)).alias("mine"), F.count(F.when(~mine, 1)).alias("others"))
     sizes = sizes.withColumn("splits", F.ceil(F.col("mine") / most_anchors).cast("int"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("others") / F.greatest(F.col("mine"), F.col("splits") * part_anchors)).cast("int"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("others") / F.greatest(PER_OWN * F.col("mine"), F.col("splits") * part_anchors)).cast("int"))
     hot = staged(sizes.where("parts > 1 or splits > 1").select("shard", "parts", "splits"), "hot-shards")
     one = lambda c: F.coalesce(c, F.lit(1)).alias(c)
     own = owned.join(hot, "shard", "left").groupBy("id").agg(F.collect_set(F.struct("anchor", "shard", one("parts"), one("splits"))).alias("own"))
@@ -229,7 +269,7 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, anchor: int = ANCHO
     least = each.groupBy("hash").agg(F.min("id").alias("shard"), F.max("id").alias("most")).where("shard < most").select("hash", "shard")
     again = staged(each.join(least, "hash").select("id", "start", "k", "shard").distinct(), "leftover-windows")
     sizes = again.groupBy("shard").agg(F.count(F.when(mine, 1)).alias("mine"), F.count(F.when(~mine, 1)).alias("others"))
-    sizes = sizes.withColumn("parts", F.ceil(F.col("others") / F.greatest("mine", F.lit(5 * part_anchors))).cast("int"))
+    sizes = sizes.withColumn("parts", F.ceil(F.col("others") / F.greatest(PER_OWN * F.col("mine"), F.lit(5 * part_anchors))).cast("int"))
     hot = staged(sizes.where("parts > 1").select("shard", "parts"), "hot-leftovers")
     own = again.join(hot, "shard", "left").groupBy("id", "start").agg(F.collect_list(F.struct("k", "shard", one("parts"))).alias("own"))
     left = _leftover_passages(rest.join(own, ["id", "start"]), window)
