@@ -167,7 +167,7 @@ class _Shard:
     groups of copies, one is looked up (the last ``_REMEMBERED`` bytes of passages are remembered).
     """
 
-    _REMEMBERED = 4 << 20
+    _REMEMBERED = 1 << 20
 
     def __init__(self, window: int):
         self.window, self.passages, self.whole, self.automaton = window, [], set(), None
@@ -195,7 +195,7 @@ class _Shard:
                 out.append((a, b + w - 1, None, None))
             else:
                 left = b" ".join(words[a : b + w - 1])
-                out.append((a, None, W.windows(W.split(pa.array([left], pa.large_binary())).hashes, w).view(np.int64).tolist(), left))
+                out.append((a, None, W.windows(W.split(pa.array([left], pa.large_binary())).hashes, w).view(np.int64), left))
         return out
 
     def compared(self, doc: int, start: int, text: bytes, with_rest: bool) -> Iterator[tuple]:
@@ -228,7 +228,7 @@ def _matches(passages: DataFrame, window: int, with_rest: bool) -> DataFrame:
                     rows += reference.compared(doc, start, text, with_rest)
                 else:
                     reference.add(text)
-                if len(rows) >= 2000:
+                if len(rows) >= 500:
                     yield _batch(rows, MATCH, _MATCH_TYPES)
                     rows = []
         if rows:
