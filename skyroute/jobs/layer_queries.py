@@ -104,6 +104,20 @@ def pair_examples(spark, sf):
     return pairs.select(F.col("stem").alias("doc_id"), F.lit(True).alias("paired")).union(mismatches.select("stem", F.lit(False)))
 
 
+@query("""WITH p AS (SELECT d.doc_id, md5(coalesce(d.text, '')) image, CAST(l.quality AS VARCHAR) label_mask, row_number() OVER (ORDER BY d.doc_id) i, count(*) OVER () n
+    FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+  SELECT doc_id, image, label_mask, CASE WHEN i <= trunc(n * 0.75) THEN 'train' WHEN i <= trunc(n * (0.75::DOUBLE + 0.24::DOUBLE)) THEN 'validation' ELSE 'test' END split FROM p""")
+def write_examples(spark, sf):
+    """Pairs written by split and read back; images are texts of documents, masks their labels."""
+    path = scratch(spark, "examples")
+    images = world.table(spark, sf, "documents").selectExpr("doc_id stem", "encode(coalesce(text, ''), 'UTF-8') content")
+    masks = world.table(spark, sf, "labels").selectExpr("doc_id stem", "encode(string(quality), 'UTF-8') content")
+    pairs, _ = readers.pair_examples(images, masks)
+    writers.write_examples(chips.split(pairs), path)
+    back = spark.read.schema("stem long, image binary, label_mask binary, split string").parquet(path)
+    return back.select(F.col("stem").alias("doc_id"), F.md5("image").alias("image"), F.decode("label_mask", "UTF-8").alias("label_mask"), "split")
+
+
 @query("""WITH h AS (SELECT CAST(user_id AS VARCHAR) run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) epoch, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)
 SELECT run, epoch, 'val_loss' metric, value FROM h""")
 def read_run_history(spark, sf):

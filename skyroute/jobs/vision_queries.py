@@ -186,12 +186,12 @@ def one_hot(spark, sf):
 
 
 @query(f"""WITH {O.RINGS}, a AS (SELECT area, k, x0, y0, s, (CASE WHEN k % 4 = 0 THEN s * s * 3 / 4 ELSE s * s END) - CASE WHEN k % 7 = 0 AND k % 4 <> 0 THEN (s - 2 * (s // 4)) * (s - 2 * (s // 4)) ELSE 0 END px FROM parts)
-  SELECT area, k polygon_id, CAST(px AS DOUBLE) area_px, CAST(x0 AS DOUBLE) x, CAST(y0 AS DOUBLE) y, CAST(s AS DOUBLE) w, CAST(s AS DOUBLE) h,
+  SELECT row_number() OVER (ORDER BY area, k) id, area, k polygon_id, CAST(px AS DOUBLE) area_px, CAST(x0 AS DOUBLE) x, CAST(y0 AS DOUBLE) y, CAST(s AS DOUBLE) w, CAST(s AS DOUBLE) h,
   CAST(CASE WHEN k % 4 = 0 THEN 14 ELSE 10 END AS INTEGER) numbers FROM a""")
 def coco_annotations(spark, sf):
     rows = chips.coco_annotations(normalize_winding(world.obstacles(spark, sf, raw=True)))
     box = {n: F.element_at("bbox", i + 1) for i, n in enumerate("xywh")}
-    return rows.select("area", "polygon_id", "area_px", *(c.alias(n) for n, c in box.items()), F.size("segmentation").alias("numbers"))
+    return rows.select("id", "area", "polygon_id", "area_px", *(c.alias(n) for n, c in box.items()), F.size("segmentation").alias("numbers"))
 
 
 @query(f"""WITH {O.PIXELS}, im AS (SELECT DISTINCT image_id FROM pixels) SELECT im.image_id, CAST(x AS INTEGER) px, CAST(y AS INTEGER) py, colour FROM im CROSS JOIN range(40) a(x) CROSS JOIN range(40) b(y)
@@ -338,3 +338,11 @@ def parts_rollup(spark, sf):
     parts = world.table(spark, sf, "lineitem").selectExpr("l_returnflag", "l_linestatus", "l_extendedprice unit", "l_quantity count", "double(null) total")
     r = design.parts_rollup(parts, ["l_returnflag", "l_linestatus"])
     return r.withColumn("total", F.round("total", 2))
+
+
+@query("""SELECT l_suppkey store, count(*) items, round(sum(l_extendedprice), 2) price, round(sum(l_extendedprice * (1 + l_tax)), 2) paid,
+  round(sum(l_extendedprice * (1 + l_tax)) - sum(l_extendedprice), 2) fees FROM lineitem GROUP BY l_suppkey""")
+def store_costs(spark, sf):
+    receipts = world.table(spark, sf, "lineitem").selectExpr("l_suppkey store", "l_extendedprice price", "l_extendedprice * (1 + l_tax) paid")
+    r = design.store_costs(receipts)
+    return r.select("store", "items", *(F.round(c, 2).alias(c) for c in ("price", "paid", "fees")))

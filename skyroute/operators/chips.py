@@ -121,16 +121,25 @@ def one_hot(category: str, n: int) -> Column:
 
 
 def coco_annotations(polygons: DataFrame) -> DataFrame:
-    """(area, polygon_id, image_id, segmentation, area_px, bbox, iscrowd) of polygons: outer ring, area without holes, box."""
+    """(id, area, polygon_id, segmentation, area_px, bbox, iscrowd) of polygons: outer ring, area without holes, box.
+
+    Ids run from 1 in order of area and polygon_id, which together are distinct.
+    """
     from skyroute.functions import geometry as G
 
     outer = F.element_at("rings", 1)
     xs, ys = F.transform(outer, lambda p: p["x"]), F.transform(outer, lambda p: p["y"])
     size = F.aggregate(F.transform("rings", lambda r, k: F.abs(G.signed_area(r)) * F.when(k == 0, 1).otherwise(-1)), F.lit(0.0), lambda a, v: a + v)
     box = F.array(F.array_min(xs), F.array_min(ys), F.array_max(xs) - F.array_min(xs), F.array_max(ys) - F.array_min(ys))
-    return polygons.select(
+    rows = polygons.select(
         "area", "polygon_id", F.flatten(F.transform(outer, lambda p: F.array(p["x"], p["y"]))).alias("segmentation"), size.alias("area_px"), box.alias("bbox"), F.lit(0).alias("iscrowd")
     )
+    return global_rank(rows, [F.col("area"), F.col("polygon_id")], "id")
+
+
+def coco_categories(spark, labels: list[str]) -> DataFrame:
+    """(id, name): the labels with ids by their place in the list, from 0."""
+    return spark.createDataFrame(list(enumerate(labels)), "id int, name string")
 
 
 def resize_nearest(pixels: DataFrame, width: int, height: int, to_width: int, to_height: int) -> DataFrame:

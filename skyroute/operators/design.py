@@ -104,3 +104,13 @@ def parts_rollup(parts: DataFrame, keys: list[str]) -> DataFrame:
     """Totals of parts (keys, unit, count, total) per key prefix and in all; the given total stands where the unit is blank."""
     line = F.coalesce(F.col("unit") * F.col("count"), F.col("total"))
     return parts.rollup(*keys).agg(F.count("*").alias("parts"), F.sum(line).alias("total"), F.grouping_id().cast("int").alias("level"))
+
+
+def store_costs(receipts: DataFrame) -> DataFrame:
+    """(store, items, price, paid, fees) of receipts (store, price, paid): sums, and what was paid over the price.
+
+    A null store is a store; a line without price or paid counts as nothing in that sum.  Fees are the difference of the two sums,
+    null where a store has no price or no paid at all.
+    """
+    sums = receipts.groupBy("store").agg(F.count("*").alias("items"), F.sum("price").alias("price"), F.sum("paid").alias("paid"))
+    return sums.withColumn("fees", F.col("paid") - F.col("price"))

@@ -43,3 +43,8 @@ def leg_features(legs: DataFrame) -> DataFrame:
 
 def write_features(features: DataFrame, path: str) -> None:
     features.write.text(path)
+
+
+def write_examples(examples: DataFrame, path: str) -> None:
+    """Example pairs (stem, image, label_mask, split) as Parquet, a folder for each split."""
+    examples.write.partitionBy("split").parquet(path)

@@ -46,3 +46,18 @@ def test_rows_of_queries_without_sql(spark, name):
 def test_plans_without_nested_loops(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_store_costs_with_nulls(spark):
+    from skyroute.operators.design import store_costs
+
+    rows = [("a", 2.0, 3.0), ("a", None, 1.0), (None, 5.0, 5.5), ("b", 1.0, None)]
+    out = {r.store: tuple(r)[1:] for r in store_costs(spark.createDataFrame(rows, "store string, price double, paid double")).collect()}
+    assert out == {"a": (2, 2.0, 4.0, 2.0), None: (1, 5.0, 5.5, 0.5), "b": (1, 1.0, None, None)}
+    assert store_costs(spark.createDataFrame([], "store string, price double, paid double")).count() == 0
+
+
+def test_coco_categories(spark):
+    from skyroute.operators.chips import coco_categories
+
+    assert [tuple(r) for r in coco_categories(spark, ["building", "water"]).orderBy("id").collect()] == [(0, "building"), (1, "water")]
