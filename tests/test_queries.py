@@ -37,6 +37,7 @@ def test_entry(spark):
     assert set(queries.queries()) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
+# what these rows must be is tested in test_images_and_batches.py and test_geometry.py
 @pytest.mark.parametrize("name", ["shuffled_batches", "augment_chips", "augment_colors", "resize_bilinear", "grb_to_internal"])
 def test_rows_of_queries_without_sql(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
