@@ -275,7 +275,7 @@ def buffer_polygons(spark, sf):
 
 
 
-@query(f"WITH {O.RINGS} SELECT CAST(k // 50 AS INTEGER) sheet, count(*) rings, CAST(sum(len(pts) + 1) AS BIGINT) points FROM rings GROUP BY ALL")
+@query(f"WITH {O.RINGS} SELECT CAST(k // 50 AS INTEGER) sheet, count(*) rings, CAST(sum(len(pts) + 1) AS BIGINT) points, CAST(sum(DISTINCT k) AS BIGINT) ids FROM rings GROUP BY ALL")
 def read_shapefile_zips(spark, sf):
     """The buildings as zipped shapefiles of fifty, written by the tasks that hold them, and read back."""
     import io
@@ -292,6 +292,7 @@ def read_shapefile_zips(spark, sf):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as archive:
             archive.writestr(f"Shapefile/Gba{sheet}.shp", shapes_)
+            archive.writestr(f"Shapefile/Gba{sheet}.dbf", readers.encode_attributes([{"ID": str(k)} for k in table.column("polygon_id").to_pylist()]))
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         with store.open_output_stream(f"{root}/Gba_20220704_{sheet}_Shapefile.zip") as f:
@@ -299,12 +300,12 @@ def read_shapefile_zips(spark, sf):
         return pa.table({"sheet": pa.array([sheet], pa.int32())})
 
     # a sheet is fifty buildings, whatever the size of the table
-    rows = world.obstacles(spark, sf, raw=True).selectExpr("int(polygon_id div 50) sheet", "rings")
+    rows = world.obstacles(spark, sf, raw=True).selectExpr("int(polygon_id div 50) sheet", "polygon_id", "rings")
     rows.groupBy("sheet").applyInArrow(write, "sheet int").write.parquet(scratch(spark, "sheets"))
     read = readers.read_shapefile_zips(spark, f"{folder}/*_Shapefile.zip")
     points = F.aggregate("rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r))
     sheet = F.regexp_extract("member", r"Gba(\d+)\.shp", 1).cast("int")
-    return read.groupBy(sheet.alias("sheet")).agg(F.sum(F.size("rings")).alias("rings"), F.sum(points).alias("points"))
+    return read.groupBy(sheet.alias("sheet")).agg(F.sum(F.size("rings")).alias("rings"), F.sum(points).alias("points"), F.sum(F.col("attributes")["ID"].cast("long")).alias("ids"))
 
 
 @query(f"WITH {O.OBSTACLES} SELECT polygon_id * 10000 + vertex_idx src, x, y, left_x, left_y FROM obst")

@@ -197,27 +197,62 @@ def decode_shapes(data: bytes) -> list[list[list[tuple[float, float]]] | None]:
     return out
 
 
+def encode_attributes(rows: list[dict[str, str]]) -> bytes:
+    """A .dbf table of text fields, those of the first row."""
+    names = list(rows[0]) if rows else []
+    cells = [[str(r[n]).encode() for n in names] for r in rows]
+    widths = [max(1, *(len(c[k]) for c in cells)) for k in range(len(names))]
+    fields = b"".join(struct.pack("<11sc4xB15x", n.encode(), b"C", w) for n, w in zip(names, widths, strict=True))
+    body = b"".join(b" " + b"".join(c.ljust(w) for c, w in zip(row, widths, strict=True)) for row in cells)
+    return struct.pack("<4BIHH20x", 3, 100, 1, 1, len(rows), 33 + len(fields), 1 + sum(widths)) + fields + b"\r" + body + b"\x1a"
+
+
+def decode_attributes(data: bytes) -> list[dict[str, str | None]]:
+    """Field values of every record of a .dbf table as trimmed text, deleted ones included; null where blank.
+
+    Text is UTF-8, or Latin-1 where it is not.
+    """
+
+    def text(value: bytes) -> str:
+        try:
+            return value.decode()
+        except UnicodeDecodeError:
+            return value.decode("latin-1")
+
+    n, start, width = struct.unpack_from("<IHH", data, 4)
+    fields, at, place = [], 32, 1
+    while at + 32 <= start and data[at] != 0x0D:
+        fields.append((text(data[at : at + 11].split(b"\0")[0]), place, place + data[at + 16]))
+        place += data[at + 16]
+        at += 32
+    rows = (data[start + k * width : start + (k + 1) * width] for k in range(n))
+    return [{name: text(r[a:b]).strip(" \0") or None for name, a, b in fields} for r in rows]
+
+
 def read_shapefile_zips(spark: SparkSession, pattern: str, member: str = r"(^|/)Shapefile/[^/]+\.shp$") -> DataFrame:
-    """(path, member, record, rings) of all polygons in all archives that the pattern matches; one archive is one task's row.
+    """(path, member, record, rings, attributes) of all polygons in all archives that the pattern matches; one archive is one task's row.
 
-    Records that are no polygons are rejected: they have a row with null rings.
+    Records that are no polygons are rejected: they have a row with null rings.  Attributes are those of the same record in the
+    table (.dbf) beside the shapes; they are null where there is no table or no such record.
     """
     import re
 
+    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
+    kinds = [("path", pa.string()), ("member", pa.string()), ("record", pa.int32()), ("rings", pa.list_(pa.list_(point))), ("attributes", pa.map_(pa.string(), pa.string()))]
+
     def run(batches):
         for batch in batches:
-            out = {"path": [], "member": [], "record": [], "rings": []}
             for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    tables = {n[:-4]: n for n in archive.namelist() if n.lower().endswith(".dbf")}
                     for name in archive.namelist():
                         if re.search(member, name):
-                            for k, rings in enumerate(decode_shapes(archive.read(name))):
-                                out["path"].append(path)
-                                out["member"].append(name)
-                                out["record"].append(k)
-                                out["rings"].append(None if rings is None else [[{"x": x, "y": y} for x, y in r] for r in rings])
-            point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-            yield pa.RecordBatch.from_pydict(out, pa.schema([("path", pa.string()), ("member", pa.string()), ("record", pa.int32()), ("rings", pa.list_(pa.list_(point)))]))
+                            shapes, table = decode_shapes(archive.read(name)), tables.get(name[:-4])
+                            fields = decode_attributes(archive.read(table)) if table else []
+                            rings = [None if r is None else [[{"x": x, "y": y} for x, y in ring] for ring in r] for r in shapes]
+                            found = [list(fields[k].items()) if k < len(fields) else None for k in range(len(shapes))]
+                            columns = [[path] * len(shapes), [name] * len(shapes), list(range(len(shapes))), rings, found]
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
 
     files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInArrow(run, f"path string, member string, record int, rings {RINGS}")
+    return files.mapInArrow(run, f"path string, member string, record int, rings {RINGS}, attributes map<string,string>")

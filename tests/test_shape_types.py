@@ -1,8 +1,10 @@
-"""Shapefiles whose polygons have z or measures."""
+"""Shapefiles whose polygons have z or measures, and their attributes."""
 
+import io
 import struct
+import zipfile
 
-from skyroute.sources.readers import decode_shapes, encode_shapes
+from skyroute.sources.readers import decode_attributes, decode_shapes, encode_attributes, encode_shapes, read_shapefile_zips
 
 RINGS = [[(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (0.0, 0.0)], [(1.0, 2.0), (1.0, 3.0), (2.0, 3.0), (1.0, 2.0)]]
 
@@ -18,3 +20,26 @@ def test_types_with_z_and_measures():
     point = struct.pack("<idd", 1, 5.0, 6.0)
     data = bytes(100) + record(5, b"") + record(15, values * 2) + record(25, values) + struct.pack(">ii", 4, len(point) // 2) + point
     assert decode_shapes(data) == [RINGS, RINGS, RINGS, None]
+
+
+def test_attributes():
+    rows = [{"ID": "1", "NAME": "Grote Markt"}, {"ID": "20", "NAME": ""}, {"ID": "", "NAME": "Café"}]
+    assert decode_attributes(encode_attributes(rows)) == [{"ID": "1", "NAME": "Grote Markt"}, {"ID": "20", "NAME": None}, {"ID": None, "NAME": "Café"}]
+    assert decode_attributes(encode_attributes([])) == []
+    # a table as other programs write it: a number padded on the left, a deleted record, Latin-1
+    fields = struct.pack("<11sc4xBB14x", b"LBLTYPE", b"N", 5, 0) + struct.pack("<11sc4xB15x", b"STREET", b"C", 4)
+    data = struct.pack("<4BIHH20x", 3, 122, 7, 4, 2, 33 + len(fields), 10) + fields + b"\r" + b"    12abc " + b"*    3\xe9   " + b"\x1a"
+    assert decode_attributes(data) == [{"LBLTYPE": "12", "STREET": "abc"}, {"LBLTYPE": "3", "STREET": "é"}]
+
+
+def test_archives_with_and_without_attributes(spark, tmp_path):
+    for name, table in (("a", encode_attributes([{"ID": "7"}])), ("b", None)):
+        content = io.BytesIO()
+        with zipfile.ZipFile(content, "w") as archive:
+            archive.writestr(f"Shapefile/{name}.shp", encode_shapes([RINGS, RINGS]))
+            if table:
+                archive.writestr(f"Shapefile/{name}.dbf", table)
+        (tmp_path / f"{name}.zip").write_bytes(content.getvalue())
+    rows = sorted(((r.member, r.record, r.attributes, len(r.rings)) for r in read_shapefile_zips(spark, f"file://{tmp_path}/*.zip").collect()), key=lambda r: r[:2])
+    assert [r[:2] for r in rows] == [("Shapefile/a.shp", 0), ("Shapefile/a.shp", 1), ("Shapefile/b.shp", 0), ("Shapefile/b.shp", 1)]
+    assert [r[2] for r in rows] == [{"ID": "7"}, None, None, None] and all(r[3] == 2 for r in rows)
