@@ -80,10 +80,15 @@ def temperature(sources: DataFrame, total: float, budget: float, target_entropy:
 def source_weights(
     docs: DataFrame, source: str, tokens: str, *, budget: float | None = None, target_entropy: float = TARGET_ENTROPY, max_repeats: float = MAX_REPEATS
 ) -> tuple[DataFrame, float]:
-    """(table of source, documents, tokens, weight and repeats; the exponent).  Sources without tokens have no weight."""
+    """(table of source, documents, tokens, weight and repeats; the exponent).  Sources without tokens have no weight.
+
+    Raises ValueError if the budget is more than ``max_repeats`` passes over all sources give.
+    """
     sums = staged(docs.where(F.col(tokens) > 0).groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens")), "sources")
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     budget = float(budget if budget is not None else total)
+    if budget > max_repeats * total:
+        raise ValueError("the budget exceeds max_repeats times the tokens, so no weights meet both")
     sums = sums.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
     a = temperature(sums, total, budget, target_entropy, max_repeats) if total else 1.0
     z = sums.agg(F.sum(F.pow("share", F.lit(a)))).first()[0] or 1.0
@@ -108,7 +113,7 @@ def mixed(
     ``budget`` is the tokens of the mixture, those of the table unless given.  A null source is a source.  Documents without
     words are in no mixture.  In the last, partial pass a document is taken if the middle of its tokens lies within the rest of
     the block's budget.  ``pass`` counts from 0 and ``order`` is a random number by which a pass is shuffled.
-    Repeated rows take part each.  An empty table gives an empty one.
+    Repeated rows take part each.  An empty table gives an empty one; a ``budget`` above ``max_repeats`` times the tokens raises ValueError.
     Same input and seed, same result.  Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(source_col).cast("string").alias("source"))

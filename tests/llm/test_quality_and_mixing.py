@@ -171,6 +171,13 @@ def test_mixture_of_odd_tables(spark):
     assert len(twice) == 2
 
 
+def test_mixture_of_more_than_its_repeats_give(spark):
+    df = spark.createDataFrame([(1, "a b c", "a"), (2, "d", "b")], "doc_id long, text string, source string")
+    with pytest.raises(ValueError, match="budget"):
+        mixing.mixed(df, budget=9.0, max_repeats=2.0)
+    assert sorted((r.id, r["pass"]) for r in mixing.mixed(df, budget=8.0, max_repeats=2.0).collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+
+
 def test_token_counts(spark):
     texts = [None, "", " ", "a", " a\tb\n\nc ", "é ü"]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, text string, source string")
