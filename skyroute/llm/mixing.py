@@ -82,12 +82,12 @@ def source_weights(
 ) -> tuple[DataFrame, float]:
     """(table of source, documents, tokens, weight and repeats; the exponent).  Sources without tokens have no weight.
 
-    Raises ValueError if the budget is more than ``max_repeats`` passes over all sources give.
+    Raises ValueError if there are tokens and the budget is more than ``max_repeats`` passes over all sources give.
     """
     sums = staged(docs.where(F.col(tokens) > 0).groupBy(F.col(source).alias("source")).agg(F.count("*").alias("docs"), F.sum(tokens).alias("tokens")), "sources")
     total = sums.agg(F.sum("tokens")).first()[0] or 0
     budget = float(budget if budget is not None else total)
-    if budget > max_repeats * total:
+    if total and budget > max_repeats * total:
         raise ValueError("the budget exceeds max_repeats times the tokens, so no weights meet both")
     sums = sums.withColumn("share", F.col("tokens") / F.lit(float(max(total, 1))))
     a = temperature(sums, total, budget, target_entropy, max_repeats) if total else 1.0

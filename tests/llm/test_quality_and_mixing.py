@@ -176,6 +176,7 @@ def test_mixture_of_more_than_its_repeats_give(spark):
     with pytest.raises(ValueError, match="budget"):
         mixing.mixed(df, budget=9.0, max_repeats=2.0)
     assert sorted((r.id, r["pass"]) for r in mixing.mixed(df, budget=8.0, max_repeats=2.0).collect()) == [(1, 0), (1, 1), (2, 0), (2, 1)]
+    assert mixing.mixed(df.limit(0), budget=9.0).count() == 0
 
 
 def test_token_counts(spark):
