@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skyroute.llm.sharding import sharding_sql
 from skyroute.llm.url_filter import url_filter_sql
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -62,4 +63,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter_sql(),
         "op6_decontaminate": CONTAMINATION,
         "op7_warc": ARCHIVES,
+        "op13_sharding": sharding_sql(),
     }

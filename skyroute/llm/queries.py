@@ -15,6 +15,7 @@ from skyroute.llm.mixing import mixed
 from skyroute.llm.oracles import oracle_sql
 from skyroute.llm.quality import judged
 from skyroute.llm.quotations import linked_conversations
+from skyroute.llm.sharding import sharded
 from skyroute.llm.substring_dedup import remove_repeats
 from skyroute.llm.tables import table
 from skyroute.llm.url_filter import url_filter
@@ -63,6 +64,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_jaccard_join": op1_jaccard_join,
@@ -75,4 +80,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_main_text": op10_main_text,
+        "op13_sharding": op13_sharding,
     }
