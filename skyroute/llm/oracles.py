@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from skyroute.llm.divergence import DIVERGENCE_SQL
 from skyroute.llm.sharding import sharding_sql
 from skyroute.llm.url_filter import url_filter_sql
 
@@ -63,5 +64,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter_sql(),
         "op6_decontaminate": CONTAMINATION,
         "op7_warc": ARCHIVES,
+        "op12_divergence": DIVERGENCE_SQL,
         "op13_sharding": sharding_sql(),
     }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyroute.llm.decontaminate import contamination
+from skyroute.llm.divergence import source_divergence
 from skyroute.llm.hash_forest import nearest
 from skyroute.llm.jaccard_join import jaccard_join
 from skyroute.llm.main_text import extract_main_text
@@ -64,6 +65,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents"))
 
@@ -80,5 +85,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_main_text": op10_main_text,
+        "op12_divergence": op12_divergence,
         "op13_sharding": op13_sharding,
     }
