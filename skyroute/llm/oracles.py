@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skyroute.llm.divergence import DIVERGENCE_SQL
+from skyroute.llm.ranked_search import RANKED_SQL
 from skyroute.llm.sharding import sharding_sql
 from skyroute.llm.url_filter import url_filter_sql
 
@@ -64,6 +65,7 @@ def oracle_sql() -> dict[str, str]:
         "op3_url_filter": url_filter_sql(),
         "op6_decontaminate": CONTAMINATION,
         "op7_warc": ARCHIVES,
+        "op11_ranked_search": RANKED_SQL,
         "op12_divergence": DIVERGENCE_SQL,
         "op13_sharding": sharding_sql(),
     }

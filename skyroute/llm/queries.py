@@ -16,6 +16,7 @@ from skyroute.llm.mixing import mixed
 from skyroute.llm.oracles import oracle_sql
 from skyroute.llm.quality import judged
 from skyroute.llm.quotations import linked_conversations
+from skyroute.llm.ranked_search import ranked_search
 from skyroute.llm.sharding import sharded
 from skyroute.llm.substring_dedup import remove_repeats
 from skyroute.llm.tables import table
@@ -65,6 +66,10 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_mixing": op9_mixing,
         "op10_main_text": op10_main_text,
+        "op11_ranked_search": op11_ranked_search,
         "op12_divergence": op12_divergence,
         "op13_sharding": op13_sharding,
     }
