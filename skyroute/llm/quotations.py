@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 from skyroute.llm.tables import staged
 
-_MARKS = r"^[ \t]*((?:>[ \t]*)+)"
+#: The marks before a quoted line.  Possessive classes, so that neither time nor stack follows more than the number of marks.
+_MARKS = r"^[ \t]*+>[> \t]*+"
 #: A line that introduces a quotation: it ends in a colon, speaks of writing, and goes with the quotation.
-_INTRODUCTION = r"(?i)^.{0,200}\b(wrote|writes|schrieb|écrit|escribió)\s*:\s*$"
+_INTRODUCTION = r"(?i)^.{0,200}\b(wrote|writes|schrieb|écrit|escribió)\s*+:\s*+$"
+#: What is trimmed at the end of a text without its quotations.
+_BLANKS = " \t\n\x0b\f\r"
 
 
 def _level(line: Column) -> Column:
-    marks = F.regexp_extract(line, _MARKS, 1)
-    return F.length(F.regexp_replace(marks, "[^>]", ""))
+    return F.length(F.translate(F.regexp_extract(line, _MARKS, 0), " \t", ""))
 
 
 def normalised(text: Column) -> Column:
@@ -38,10 +40,14 @@ def _key(text: Column) -> Column:
     return F.when(F.length(plain) > 0, F.substring(F.sha2(plain, 256), 1, 32))
 
 
+def _unix(text: Column) -> Column:
+    return F.regexp_replace(text, "\r\n?", "\n")
+
+
 def parsed(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, with ``own`` (the text without quotations) and ``passages`` (level, text)."""
     lines = F.transform(
-        F.split(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), "\n"),
+        F.split(_unix(F.coalesce("text", F.lit(""))), "\n"),
         lambda x: F.struct(_level(x).alias("level"), F.when(_level(x) > 0, F.regexp_replace(x, _MARKS, "")).otherwise(x).alias("line")),
     )
     with_lines = messages.withColumn("lines", lines)
@@ -63,11 +69,12 @@ def parsed(messages: DataFrame) -> DataFrame:
             ).alias("text"),
         ),
     )
+    unquoted = F.ltrim(F.rtrim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(_BLANKS)), F.lit("\n"))
     return with_lines.withColumn("changes", changes).select(
         "conv_id",
         "turn",
         "role",
-        F.regexp_replace(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), r"^\n+|\s+$", "").alias("own"),
+        F.when(F.exists("lines", lambda x: x["level"] > 0), unquoted).otherwise(F.coalesce("text", F.lit(""))).alias("own"),
         F.filter(passages, lambda p: p["level"] > 0).alias("passages"),
     )
 
@@ -80,7 +87,8 @@ def _parts(text: Column) -> Column:
 def linked_conversations(messages: DataFrame, *, most_rounds: int = 64) -> DataFrame:
     """One row per message: conv_id, turn, role, text, n_quotes, n_linked, parent_turn, depth, branch.
 
-    ``text`` is without quotations and the lines that introduce them.  ``n_quotes`` counts quoted passages and
+    ``text`` is without quotations and the lines that introduce them, nor blanks and line ends around what is left; a text without quotations stays as it is.
+    Texts, lines, marks and runs of blanks of any length will do.  ``n_quotes`` counts quoted passages and
     ``n_linked`` those whose original was found earlier in the conversation.  ``parent_turn`` is null for the first message.
     ``branch`` is the list of turns at which the path from the first message left the plain order, ``depth`` its length;
     rows come sorted by conv_id, branch and turn, which is reply order.  A null text is empty; rows with a null
@@ -97,7 +105,7 @@ def linked_conversations(messages: DataFrame, *, most_rounds: int = 64) -> DataF
     said = staged(parsed(rows), "messages")
 
     originals = (
-        said.select("conv_id", "turn", F.explode(_parts(F.col("own"))).alias("part"))
+        said.select("conv_id", "turn", F.explode(_parts(_unix(F.col("own")))).alias("part"))
         .select("conv_id", _key(F.col("part")).alias("key"), "turn")
         .where("key is not null")
         .groupBy("conv_id", "key")

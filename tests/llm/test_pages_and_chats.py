@@ -109,4 +109,16 @@ def test_no_quotations_in_whole_table(spark):
 
     rows = {(r.conv_id, r.turn): r.text for r in spark.read.parquet(f"{SF}/conversations.parquet").collect()}
     got = op4_quotation_linking(spark, SF).collect()
-    assert {(r.conv_id, r.turn): r.text for r in got} == {k: (t or "").rstrip() for k, t in rows.items()}
+    assert {(r.conv_id, r.turn): r.text for r in got} == {k: t or "" for k, t in rows.items()}
+
+
+def test_marks_and_blanks_without_end(spark):
+    marks, blanks, n = "> " * 1_000_000, " " * 1_000_000, 1_000_000
+    rows = [
+        (1, 0, "user", f"first{blanks}words"), (1, 1, "user", f"{marks}first words\nmore"), (1, 2, "user", f"wrote:{blanks}x\n> more\n{blanks}y{blanks}"),
+        (1, 3, "user", ">" * n), (1, 4, "user", "\n\r\n as it is\r\n \t"), (1, 5, "user", "> as it is\n\n\nyes \n \t"), (1, 6, "user", "one\rtwo"), (1, 7, "user", "> two\nok"),
+    ]
+    got = chat(spark, rows)
+    assert {k[1]: (r.text, r.n_quotes, r.parent_turn) for k, r in got.items()} == {
+        0: (rows[0][3], 0, None), 1: ("more", 1, 0), 2: (f"wrote:{blanks}x\n{blanks}y", 1, 1), 3: ("", 1, 2), 4: (rows[4][3], 0, 3), 5: ("yes", 1, 4), 6: ("one\rtwo", 0, 5), 7: ("ok", 1, 6),
+    }

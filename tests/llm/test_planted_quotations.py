@@ -60,7 +60,7 @@ def plain_links(rows):
                         passages[-1][1].append(x)
                     else:
                         passages.append((level, [x]))
-            own = regex.sub(r"^\n+|[ \t\n\x0b\f\r]+\Z", "", "\n".join(own))
+            own = regex.sub(r"^\n+|[ \t\n\x0b\f\r]+\Z", "", "\n".join(own)) if passages else text or ""
             read.append((turn, own, [(level, "\n".join(p)) for level, p in passages]))
             for p in parts(own):
                 first.setdefault(plain_key(p), turn)
