@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyroute.functions import geometry as G
+from skyroute.operators.sight import open_pairs
 from skyroute.operators.vertices import boxes, explode_vertices, ring_edges
 from skyroute.sources.staging import cut
 
@@ -68,23 +69,6 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return a.join(b, on).where(G.distance("a_x", "a_y", "b_x", "b_y") <= radius).drop("cx", "cy")
 
 
-def all_pairs(left: DataFrame, right: DataFrame, block: int = 100) -> DataFrame:
-    """As ``near_pairs`` at any distance; both have node_id, too.  The pairs of an area are dealt in blocks of about ``block`` x ``block``."""
-    parts = lambda rows, name: rows.groupBy("area").agg(F.ceil(F.count("*") / block).alias(name))
-    n = parts(left, "n_a").join(parts(right, "n_b"), "area")
-
-    def dealt(rows, s, own, other):
-        rows = rows.withColumn(own, F.pmod(F.xxhash64("node_id"), F.lit(2**31 - 1))).join(n, "area")
-        cols = (F.col(c).alias(f"{s}_{c}") for c in left.columns)
-        return rows.select(*cols, F.pmod(own, f"n_{s}").alias(own), F.explode(F.sequence(F.lit(0), F.col(f"n_{'b' if s == 'a' else 'a'}") - 1)).alias(other))
-
-    a, b = dealt(left, "a", "at", "bt"), dealt(right.select(*left.columns), "b", "bt", "at")
-    # few rows become many pairs: as many tasks as there are, however small the tables
-    spark = left.sparkSession
-    b = b.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), "b_area", "at", "bt")
-    return a.join(b, (F.col("a_area") == F.col("b_area")) & (a["at"] == b["at"]) & (a["bt"] == b["bt"])).drop("at", "bt")
-
-
 def same_location_pairs(nodes: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(src, dst), src < dst: nodes so near that they see each other whatever is between."""
     return near_pairs(nodes, nodes, tolerance).where("a_node_id < b_node_id").select(F.col("a_node_id").alias("src"), F.col("b_node_id").alias("dst"))
@@ -98,17 +82,16 @@ def visible_pairs(
 
     A pair sees each other if it is within ``tolerance``, or if the way starts inside an obstacle's corner at neither
     end and properly crosses no obstacle edge.  Nodes have node_id, is_obstacle, x, y and the neighbours of obstacle
-    vertices.  The corners are tested before any edge is looked at; the ways that are left meet the edges in
-    the grid cells that they pass.  With ``targets``, pairs are of one node and one target instead, src the target.
+    vertices.  Pairs with a wall between for sure are not made (``sight.open_pairs``); the corners of the others are tested before any edge
+    is looked at, and the ways that are left meet the edges in the grid cells that they pass.  With ``targets``, pairs are of one node and one target instead, src the target.
 
     With ``taut``, a way must be tangent to the corners at its ends: others are on no shortest path between points that are
     not obstacle vertices.  Nodes with another one within ``tolerance`` (column ``loose``, see ``with_loose``) keep all ways, as a path can jump there.
     """
-    pair = all_pairs if max_edge is None else lambda a, b: near_pairs(a, b, max_edge)
     if targets is None:
-        pairs = pair(nodes, nodes).where("a_node_id < b_node_id")
+        pairs = open_pairs(nodes, nodes, obstacle_edges, max_edge).where("a_node_id < b_node_id")
     else:
-        pairs = pair(targets, nodes).where("a_node_id <> b_node_id")
+        pairs = open_pairs(targets.select(*nodes.columns), nodes, obstacle_edges, max_edge).where("a_node_id <> b_node_id")
     return seen(pairs, obstacle_edges, cell=cell, tolerance=tolerance, taut=taut)
 
 

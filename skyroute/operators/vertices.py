@@ -35,6 +35,11 @@ def ring_edges(vertices: DataFrame) -> DataFrame:
     return vertices.select("area", "polygon_id", "ring_idx", "vertex_idx", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("left_x").alias("x2"), F.col("left_y").alias("y2"))
 
 
+def walls(vertices: DataFrame) -> DataFrame:
+    """The edges with the vertex before their first one, as ``spatial.seen`` takes them to tell ways through corners."""
+    return vertices.select("area", F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("left_x").alias("x2"), F.col("left_y").alias("y2"), "right_x", "right_y")
+
+
 def boxes(polygons: DataFrame) -> DataFrame:
     """(area, polygon_id, min_x, min_y, max_x, max_y) of the outer rings."""
     outer = F.element_at("rings", 1)

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from skyroute.jobs import queries, world
-from skyroute.operators import spatial
+from skyroute.operators import sight, spatial
+from skyroute.sources.staging import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -70,5 +71,73 @@ def test_ways_of_any_length(spark):
     nodes = spark.createDataFrame([(0, n, False, x, y) for n, (x, y) in places.items()], "area int, node_id long, is_obstacle boolean, x double, y double").selectExpr("*", *none)
     got = {(r.src, r.dst) for r in spatial.visible_pairs(nodes, walls).collect()}
     assert got == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
-    blocks = spatial.all_pairs(nodes, nodes, block=1)
-    assert sorted((r.a_node_id, r.b_node_id) for r in blocks.collect()) == [(a, b) for a in range(1, 5) for b in range(1, 5)]
+
+
+def _walls(spark, squares):
+    corner = lambda q, k: [(q[0], q[1]), (q[0] + q[2], q[1]), (q[0] + q[2], q[1] + q[2]), (q[0], q[1] + q[2])][k % 4]
+    rows = [(q[3], *map(float, corner(q, k) + corner(q, k + 1) + corner(q, k - 1))) for q in squares for k in range(4)]
+    nodes = [(q[3], 4 * n + k, True, *map(float, corner(q, k) + corner(q, k + 1) + corner(q, k - 1))) for n, q in enumerate(squares) for k in range(4)]
+    walls = spark.createDataFrame(rows, "area int, x1 double, y1 double, x2 double, y2 double, right_x double, right_y double")
+    return walls, spark.createDataFrame(nodes, "area int, node_id long, is_obstacle boolean, x double, y double, left_x double, left_y double, right_x double, right_y double")
+
+
+def _sees(p, points, squares):
+    """Whether the way from a point to each of the points stays out of every open square."""
+    a, d = np.array(p, float), np.array(points, float) - np.array(p, float)
+    blocked = np.zeros(len(points), dtype=bool)
+    for low in range(0, len(squares), 500):
+        q = np.array([s[:3] for s in squares[low : low + 500]], float)
+        enter, leave = np.zeros((len(points), len(q))), np.ones((len(points), len(q)))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(2):
+                lo, hi = q[:, k] - a[k], q[:, k] + q[:, 2] - a[k]
+                t, u = lo / d[:, k, None], hi / d[:, k, None]
+                still, between = d[:, k, None] == 0, (lo < 0) & (hi > 0)
+                enter = np.maximum(enter, np.where(still, np.where(between, 0, 2), np.minimum(t, u)))
+                leave = np.minimum(leave, np.where(still, 1, np.maximum(t, u)))
+        blocked |= (enter < leave - 1e-12).any(axis=1)
+    return ~blocked
+
+
+def test_random_towns_against_every_pair(spark):
+    """Pairs that see each other are all among the open ones; squares on one line and narrow lanes are among the towns."""
+    rng = np.random.default_rng(3)
+    squares = []
+    for area in range(6):
+        grid = [(80 * i, 80 * j) for i in range(7) for j in range(7)]
+        for x, y in grid:
+            jitter = rng.integers(0, 25, 2) if area % 2 else (0, 0)
+            squares.append((x + int(jitter[0]) - 200, y + int(jitter[1]) - 300, int(rng.choice([79, 40] if area == 4 else [20, 40, 55])), area))
+    squares = [s for s in squares if rng.random() < 0.8]
+    walls, nodes = _walls(spark, squares)
+    got = {(r.src, r.dst) for r in spatial.visible_pairs(nodes, walls).collect()}
+    some = {(r.src, r.dst) for r in spatial.visible_pairs(nodes, walls, 130.0).collect()}
+    at = [(r.area, r.node_id, (r.x, r.y)) for r in nodes.collect()]
+    want = set()
+    for area in range(6):
+        own = [s for s in squares if s[3] == area]
+        here = [x for x in at if x[0] == area]
+        inside = lambda p: any(q[0] < p[0] < q[0] + q[2] and q[1] < p[1] < q[1] + q[2] for q in own)  # noqa: E731, B023
+        for _, n, p in here:
+            for (_, m, o), sees in zip(here, _sees(p, [x[2] for x in here], own), strict=True):
+                if n < m and (sees or p == o):
+                    assert not inside(p)
+                    want.add((n, m))
+    assert got == want
+    place = {n: p for _, n, p in at}
+    assert some == {(n, m) for n, m in want if np.hypot(*np.subtract(place[n], place[m])) <= 130}
+
+
+def test_twenty_thousand_nodes_in_one_area(spark):
+    """Candidate pairs follow what can be seen: here far less than a hundredth of the two hundred million pairs."""
+    rng = np.random.default_rng(8)
+    squares = [(100 * i + int(rng.integers(0, 35)), 100 * j + int(rng.integers(0, 35)), int(rng.integers(45, 66)), 0) for i in range(71) for j in range(71)][:5000]
+    walls, nodes = _walls(spark, squares)
+    walls, nodes = cut(walls, "walls"), cut(nodes, "nodes")
+    pairs = cut(sight.open_pairs(nodes, nodes, walls).where("a_node_id < b_node_id").select("a_node_id", "b_node_id"), "pairs")
+    assert pairs.count() < 20_000 * 100
+    places = [(float(r.x), float(r.y)) for r in nodes.orderBy("node_id").collect()]
+    for n in rng.integers(0, 20_000, 4).tolist():
+        sees = set(np.flatnonzero(_sees(places[n], places, squares)).tolist()) - {n}
+        found = {r.a_node_id + r.b_node_id - n for r in pairs.where(f"a_node_id = {n} or b_node_id = {n}").collect()}
+        assert sees <= found
