@@ -184,20 +184,20 @@ def bbox_intersects(spark, sf):
     return spatial.bbox_intersects(world.zones(spark, sf), q)
 
 
-_NODES = f"""{O.OBSTACLES}, {O.WATERS}, every AS (
+NODES = f"""{O.OBSTACLES}, {O.WATERS}, every AS (
   SELECT area, CAST(polygon_id AS BIGINT) * 268435456 + ring_idx * 1048576 + vertex_idx node_id, 'obstacle' kind, x, y, left_x, left_y, right_x, right_y FROM obst
   UNION ALL SELECT area, 4611686018427387904 + CAST(polygon_id AS BIGINT) * 268435456 + ring_idx * 1048576 + vertex_idx, 'water', x, y, left_x, left_y, right_x, right_y FROM lake
 )"""
 # a way is blocked where it crosses an edge, or where a vertex lies on it and it enters the corner there on either side
 _ON = f"""({O.turn(('a.x', 'a.y'), ('b.x', 'b.y'), ('e.x', 'e.y'))} = 0 AND (e.x - a.x) * (b.x - a.x) + (e.y - a.y) * (b.y - a.y) > 0
       AND (e.x - b.x) * (a.x - b.x) + (e.y - b.y) * (a.y - b.y) > 0 AND ({O.enters('e', 'b.x', 'b.y')} OR {O.enters('e', 'a.x', 'a.y')}))"""
-_PAIR = f"""({O.distance('a.x', 'a.y', 'b.x', 'b.y')} <= 0.5 OR (
+PAIR = f"""({O.distance('a.x', 'a.y', 'b.x', 'b.y')} <= 0.5 OR (
     NOT (a.kind = 'obstacle' AND {O.enters('a', 'b.x', 'b.y')}) AND NOT (b.kind = 'obstacle' AND {O.enters('b', 'a.x', 'a.y')})
     AND NOT EXISTS (SELECT 1 FROM obst e WHERE e.area = a.area AND greatest(e.x, e.left_x) >= least(a.x, b.x) AND least(e.x, e.left_x) <= greatest(a.x, b.x)
       AND greatest(e.y, e.left_y) >= least(a.y, b.y) AND least(e.y, e.left_y) <= greatest(a.y, b.y)
       AND ({O.crosses(('a.x', 'a.y'), ('b.x', 'b.y'), ('e.x', 'e.y'), ('e.left_x', 'e.left_y'))} OR {_ON}))))"""
 _GRAPH = f"""edges AS (
-  SELECT a.area, a.node_id src, b.node_id dst, {O.distance('a.x', 'a.y', 'b.x', 'b.y')} length FROM every a JOIN every b ON a.area = b.area AND a.node_id < b.node_id WHERE {_PAIR}
+  SELECT a.area, a.node_id src, b.node_id dst, {O.distance('a.x', 'a.y', 'b.x', 'b.y')} length FROM every a JOIN every b ON a.area = b.area AND a.node_id < b.node_id WHERE {PAIR}
 )"""
 
 
@@ -227,15 +227,15 @@ def recharge_candidates(spark, sf):
     return spatial.recharge_candidates(state, lakes)
 
 
-@query(f"WITH {_NODES}, {_GRAPH} SELECT area, src, dst, round(length, 6) length FROM edges")
+@query(f"WITH {NODES}, {_GRAPH} SELECT area, src, dst, round(length, 6) length FROM edges")
 def build_nav_graph(spark, sf):
     _, edges = graph.build_nav_graph(world.obstacles(spark, sf), world.waters(spark, sf))
     return edges.select("area", "src", "dst", F.round("length", 6).alias("length"))
 
 
-@query(f"""WITH {_NODES}, {O.REQUESTS}, a AS (SELECT request_id node_id, area, 'point' kind, start_x x, start_y y, NULL::DOUBLE left_x, NULL::DOUBLE left_y, NULL::DOUBLE right_x,
+@query(f"""WITH {NODES}, {O.REQUESTS}, a AS (SELECT request_id node_id, area, 'point' kind, start_x x, start_y y, NULL::DOUBLE left_x, NULL::DOUBLE left_y, NULL::DOUBLE right_x,
   NULL::DOUBLE right_y FROM reqs) SELECT a.node_id src, b.node_id dst, round({O.distance('a.x', 'a.y', 'b.x', 'b.y')}, 6) length FROM a JOIN every b ON a.area = b.area
-  AND a.node_id <> b.node_id WHERE {_PAIR}""")
+  AND a.node_id <> b.node_id WHERE {PAIR}""")
 def attach_points(spark, sf):
     """The nodes that each request's start sees."""
     nodes = graph.graph_nodes(world.obstacles(spark, sf), world.waters(spark, sf))
