@@ -226,6 +226,32 @@ def mask_to_polygons(spark, sf):
     return rings.groupBy("image_id", "category").agg(F.sum(G.signed_area("ring")).alias("pixels"))
 
 
+@query(f"""WITH {O.PIXELS} SELECT image_id, CASE colour WHEN 'building' THEN 'building' ELSE 'water' END kind, CAST(count(*) AS DOUBLE) pixels FROM pixels WHERE colour IN ('building', 'water') GROUP BY ALL""")
+def write_mask_map(spark, sf):
+    """Masks as polygons with holes on a map file, read back: what the polygons cover without their holes are the masks' pixels."""
+    p = chips.recode_colors(world.pixels(spark, sf), vision.CLASSES).select("image_id", "px", "py", "category")
+    polygons = overlay.polygons_from_rings(shapes.mask_outlines(p), ["image_id", "category"])
+    path = scratch(spark, "mask-map")
+    kind = F.concat_ws("-", F.when(F.col("category") == 1, "building").otherwise("water"), "image_id")
+    writers.write_features(writers.class_features(polygons.withColumn("kind", kind), "kind"), path)
+    back = spark.read.schema("properties struct<type:string>, geometry struct<coordinates:array<array<array<double>>>>").json(path)
+    rings = F.transform("geometry.coordinates", lambda r: F.transform(r, lambda c: F.struct(c[0].alias("x"), c[1].alias("y"))))
+    size = F.aggregate(rings, F.lit(0.0), lambda total, r: total + G.signed_area(r))
+    name = F.split("properties.type", "-")
+    return back.select(name[1].cast("long").alias("image_id"), name[0].alias("kind"), size.alias("size")).groupBy("image_id", "kind").agg(F.sum("size").alias("pixels"))
+
+
+@query(f"""WITH {O.RINGS}, outers AS (SELECT * FROM rings WHERE ring_idx = 0), h AS (SELECT k, s - 2 * (s // 4) side FROM rings WHERE ring_idx = 1)
+SELECT area, CAST(x0 AS DOUBLE) x, CAST(y0 AS DOUBLE) y, CAST(CASE WHEN h.k IS NULL THEN 0 ELSE 1 END AS INTEGER) holes, CAST(coalesce(side * side, 0) AS DOUBLE) hole_size FROM outers LEFT JOIN h ON h.k = outers.k""")
+def polygons_from_rings(spark, sf):
+    """The buildings' rings, each by itself, as polygons again: where each begins, its holes and their size."""
+    rings = vertices.normalize_winding(world.obstacles(spark, sf, raw=True)).select("area", F.explode("rings").alias("ring"))
+    p = overlay.polygons_from_rings(rings, ["area"])
+    corner = lambda c: F.array_min(F.transform(F.col("rings")[0], lambda v: v[c]))
+    holes = F.slice("rings", 2, F.greatest(F.size("rings") - 1, F.lit(1)))
+    return p.select("area", corner("x").alias("x"), corner("y").alias("y"), (F.size("rings") - 1).alias("holes"), F.aggregate(holes, F.lit(0.0), lambda t, r: t - G.signed_area(r)).alias("hole_size"))
+
+
 @query(f"""WITH {O.PIXELS}, c AS (SELECT image_id, CASE colour WHEN 'building' THEN 1 ELSE 2 END category, px, py FROM pixels WHERE colour IN ('building', 'water'))
 SELECT CAST(category AS INTEGER) category, min(px + image_id * 1000)::DOUBLE min_x, max(px + 1 + image_id * 1000)::DOUBLE max_x, min(py + image_id)::DOUBLE min_y, max(py + 1 + image_id)::DOUBLE max_y FROM c GROUP BY category""")
 def chips_to_map(spark, sf):
