@@ -43,7 +43,7 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose whole content is no text of the article.
 DROPPED = frozenset(
-    "applet aside audio button canvas datalist dialog footer form head iframe map math menu nav noscript object picture select svg template video".split()
+    "applet aside audio button canvas datalist dialog footer form head iframe map menu nav noscript object picture select svg template video".split()
 )
 #: Elements whose content is not parsed.
 _RAW = "script|style|textarea|title|xmp"
@@ -87,16 +87,31 @@ LEAF = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th tr pre blockquote figcaptio
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
+class Block:
+    """A block that is no leaf, by its place in the page; the lines in it are one after the other."""
+
+    __slots__ = ("token", "outer", "article", "first", "stop")
+
+    def __init__(self, token: int, outer: Block | None, is_article: bool, first: int):
+        self.token, self.outer = token, outer
+        #: the outermost article or main element of this block and those around it
+        self.article: Block | None = outer.article if outer is not None and outer.article is not None else self if is_article else None
+        self.first, self.stop = first, 1 << 62
+
+    def holds(self, line: int) -> bool:
+        return self.first <= line < self.stop
+
+
 class Line(NamedTuple):
     text: str
     size: int  #: characters outside links
-    path: tuple[int, ...]  #: the blocks around it, outermost first, without leaves
+    block: Block | None  #: the innermost block around it that is no leaf; none is the body
     tag: str  #: the block that it begins or goes on in; empty behind the end of one
     parent: int  #: the block around its own, -1 for the body
 
 
-def lines(page: str) -> tuple[list[Line], set[int]]:
-    """The lines of a page, and which of the blocks in their paths are article or main elements."""
+def lines(page: str) -> list[Line]:
+    """The lines of a page.  Time and memory follow its length, however deep its elements are nested."""
     tokens = list(_TOKEN.finditer(page))
     ends: dict[int, int] = {}  # token of an element's end tag, for each start tag
     starts: dict[int, int] = {}
@@ -117,7 +132,7 @@ def lines(page: str) -> tuple[list[Line], set[int]]:
     out: list[Line] = []
     text, linked, link, own_tag = [], 0, 0, ""
     at, k, soft = 0, 0, -1  # soft: the end tag of the outermost element with a soft name in an article
-    around: list[int] = []  # the blocks that are open and will be closed, without html, body and leaves
+    around: Block | None = None  # the innermost block that is open and will be closed; html, body and leaves don't count
     within = set(articles)
 
     def flush():
@@ -125,13 +140,13 @@ def lines(page: str) -> tuple[list[Line], set[int]]:
         line = " ".join(entities.unescape("".join(text)).split())
         size = max(0, len(line) - linked)
         if not (soft >= 0 and size * 2 < len(line)):
-            parent = around[-1:] if own_tag in LEAF or not own_tag else around[-2:-1]
-            out.append(Line(line, size, tuple(around), own_tag, parent[0] if parent else -1))
+            parent = around if own_tag in LEAF or not own_tag or around is None else around.outer
+            out.append(Line(line, size, around, own_tag, -1 if parent is None else parent.token))
         text, linked = [], 0
 
     def dropped(tag: str, attributes: str, at: int) -> bool:
         nonlocal soft
-        inside = any(x in within for x in around)
+        inside = around is not None and around.article is not None
         if tag in DROPPED or tag == "header" and not inside:
             return True
         if tag in ("html", "body", "main", "article") or "=" not in attributes:
@@ -188,17 +203,18 @@ def lines(page: str) -> tuple[list[Line], set[int]]:
             own_tag = "" if closing else tag
             if tag not in ("html", "body") and tag not in LEAF:
                 if not closing and k - 1 in ends:
-                    around.append(k - 1)
+                    around = Block(k - 1, around, k - 1 in within, len(out))
                 elif closing and k - 1 in starts:
-                    while around and around[-1] >= starts[k - 1]:
-                        around.pop()
+                    while around is not None and around.token >= starts[k - 1]:
+                        around.stop = len(out)
+                        around = around.outer
         if k - 1 == soft:
             flush()
             soft = -1
     if at < len(page):
         text.append(page[at:])
     flush()
-    return out, within
+    return out
 
 
 def _joined(found: list[Line], runs: list[tuple[int, int]], sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -221,41 +237,41 @@ def _joined(found: list[Line], runs: list[tuple[int, int]], sizes: np.ndarray) -
     return out
 
 
-def _moved(found: list[Line], start: int, stop: int, articles: set[int]) -> tuple[int, int]:
+def _moved(found: list[Line], start: int, stop: int) -> tuple[int, int]:
     """A run's ends, moved on inside the lowest block that holds it."""
-    own = [x for x in found[start:stop] if x.size]
-    path = own[0].path
-    for x in own:
-        n = next((i for i, (p, q) in enumerate(zip(path, x.path, strict=False)) if p != q), min(len(path), len(x.path)))
-        path = path[:n]
-    if len(own) == 1 and own[0].tag not in LEAF:
-        path = path[:-1]
-    around = [i for i, p in enumerate(path) if p in articles]
-    if around:
-        path = path[: around[0] + 1]
-    kinds = {x.tag for x in own} | _HEADINGS
-    depth = len(path)
-
-    def goes_on(x: Line) -> bool:
-        if x.path[:depth] != path:
+    own = [k for k in range(start, stop) if found[k].size]
+    block = found[own[0]].block
+    while block is not None and not block.holds(own[-1]):
+        block = block.outer
+    if len(own) == 1 and found[own[0]].tag not in LEAF and block is not None:
+        block = block.outer
+    in_article = block is not None and block.article is not None
+    if in_article:
+        block = block.article
+    kinds = {found[k].tag for k in own} | _HEADINGS
+    within = lambda k: block is None or block.holds(k)
+
+    def goes_on(k: int) -> bool:
+        x = found[k]
+        if not within(k):
             return False
-        return bool(around) or not x.text or (x.tag in kinds and x.size * 2 >= len(x.text) and x.parent == (path[-1] if path else -1))
+        return in_article or not x.text or (x.tag in kinds and x.size * 2 >= len(x.text) and x.parent == (-1 if block is None else block.token))
 
-    while start and goes_on(found[start - 1]):
+    while start and goes_on(start - 1):
         start -= 1
-    while stop < len(found) and goes_on(found[stop]):
+    while stop < len(found) and goes_on(stop):
         stop += 1
-    if around:  # a window may begin or end outside the article
-        while start < stop and found[start].path[:depth] != path:
+    if in_article:  # a window may begin or end outside the article
+        while start < stop and not within(start):
             start += 1
-        while stop > start and found[stop - 1].path[:depth] != path:
+        while stop > start and not within(stop - 1):
             stop -= 1
     return start, stop
 
 
 def main_text(page: str | None) -> str:
     """The main text: its blocks joined by two line ends; empty if there is none."""
-    found, articles = lines(page or "")
+    found = lines(page or "")
     sizes = np.array([x.size for x in found], dtype=np.int64)
     sums = np.convolve(sizes, np.ones(WINDOW, dtype=np.int64))[WINDOW - 1 :]  # of each line and those after it
     high = sums >= SURGE_LEAST
@@ -263,17 +279,17 @@ def main_text(page: str | None) -> str:
     runs = [(int(a), int(b)) for a, b in zip(edges[:-1], edges[1:], strict=True) if high[a]]
     if runs:
         # a run does not go on across the edge of an article
-        inside = [next((p for p in x.path if p in articles), -1) for x in found]
+        inside = [-1 if x.block is None or x.block.article is None else x.block.article.token for x in found]
         runs = [part for a, b in runs for part in _cut(inside, a, min(b + WINDOW - 1, len(found)))]
         weight = lambda r: int(sizes[r[0] : r[1]].sum()) * (2 if inside[r[0]] >= 0 else 1)
         by_article: dict[int, list[tuple[int, int]]] = {}
         for r in runs:
             by_article.setdefault(inside[r[0]], []).append((r[0], max(r[0] + 1, r[1] - WINDOW + 1)))
         joined = [r for own in by_article.values() for r in (_joined(found, own, sizes) if inside[own[0][0]] < 0 else [(own[0][0], min(own[-1][1] + WINDOW - 1, len(found)))])]
-        start, stop = _moved(found, *max(joined, key=lambda r: (weight(r), -r[0])), articles)
+        start, stop = _moved(found, *max(joined, key=lambda r: (weight(r), -r[0])))
         chosen = [x.text for x in found[start:stop]]
     else:
-        in_article = [x.text for x in found if any(p in articles for p in x.path)]
+        in_article = [x.text for x in found if x.block is not None and x.block.article is not None]
         chosen = in_article if any(in_article) else [x.text for x in found if x.size]
     return "\n\n".join(x for x in chosen if x)
 

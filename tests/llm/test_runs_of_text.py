@@ -76,3 +76,20 @@ def test_short_ends_of_a_text():
     blocks = ["<h1>Heading</h1>", BODY, "<p>The end.</p>"]
     assert main_text(page(blocks)).split("\n\n") == texts
     assert main_text(f"<body><nav>{MENU}</nav>{''.join(blocks)}<footer>Imprint</footer></body>").split("\n\n") == texts
+
+
+def test_deep_nesting_in_bounded_memory():
+    """A hundred thousand open elements: what is kept for each line does not grow with the depth."""
+    import tracemalloc
+
+    text = "some words of text " * 10
+    tracemalloc.start()
+    assert main_text("<div>" * 100_000 + f"<p>{text}</p>" + "</div>" * 100_000) == text.strip()
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+    lines = [f"line {i} of text that is long enough" for i in range(20_000)]
+    assert main_text("".join(f"<div><p>{x}</p>" for x in lines)).split("\n\n") == lines
+
+
+def test_formulas_stay():
+    assert main_text(f"<article><p>{'words ' * 20}<math><mi>x</mi></math> is meant</p></article>").endswith("x is meant")
