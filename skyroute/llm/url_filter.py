@@ -54,10 +54,10 @@ def path(url: str) -> Column:
     return F.regexp_extract(_rest(url), r"^[^/?#]*([^?#]*)", 1)
 
 
-def suffixes(name: Column) -> Column:
-    """The host and every parent domain of it."""
-    labels = F.split(name, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def suffixes(name: Column, most: int) -> Column:
+    """The host and every parent domain of it, of at most ``most`` labels."""
+    labels = F.slice(F.reverse(F.split(name, r"\.")), 1, most)
+    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.array_join(F.reverse(F.slice(labels, 1, n)), "."))
 
 
 def _bit(key: Column, level: int, i: int, bits: int) -> Column:
@@ -155,21 +155,23 @@ def url_filter(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, *
 
     The verdict is the rule's; without a rule, ``block`` if the host or a parent domain is in ``listed``
     (a table with ``key``), else ``allow``.  A null url, or one without ``://``, has an empty host and path
-    and is allowed.  Repeated rows are judged each; an empty table gives an empty one; other
+    and is allowed.  Hosts may be of any length and number of labels.  Repeated rows are judged each; an empty table gives an empty one; other
     columns are ignored, whatever their names.
     """
     listed = listed if listed is not None else listed_domains(pages.sparkSession)
     rule, verdict = rule_columns(rules)
     judged = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host("url").alias("host"), path("url").alias("path"))
     judged = judged.withColumns({"rule": rule, "by_rule": verdict})
-    keys = judged.select("host").distinct().select(F.explode(suffixes(F.col("host"))).alias("key"))
+    # longer parents than the longest key are not listed, so that a host of very many labels has few
+    most = max(1, listed.agg(F.max(F.size(F.split("key", r"\.")))).first()[0] or 1)
+    names = suffixes(F.col("host"), most)
+    keys = judged.select("host").distinct().select(F.explode(names).alias("key"))
     cascade = build_cascade(keys, listed, max_bytes)
     if cascade is not None:
-        judged = cascade.contains(judged, suffixes(F.col("host")), "listed")
+        judged = cascade.contains(judged, names, "listed")
     else:  # a list too large to be sent to every task
-        names = judged.select("host").distinct()
         found = (
-            names.select("host", F.explode(suffixes(F.col("host"))).alias("key")).join(listed.distinct(), "key", "left_semi").select("host").distinct()
+            judged.select("host").distinct().select("host", F.explode(names).alias("key")).join(listed.distinct(), "key", "left_semi").select("host").distinct()
         )
         judged = judged.join(found.withColumn("listed", F.lit(True)), "host", "left")
     by_list = F.when(F.coalesce("listed", F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))

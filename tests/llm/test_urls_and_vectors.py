@@ -45,6 +45,16 @@ def test_url_cases(spark):
     assert url_filter.url_filter(df.limit(0)).count() == 0
 
 
+def test_hosts_of_a_million_characters(spark):
+    long = "a." * 500_000
+    urls = [f"http://{long}listed.net/x", f"http://{long}net/", f"http://{'b' * 1_000_000}/", "http://x.b.c.d.e/", "http://c.d.e/"]
+    listed = spark.createDataFrame([("listed.net",), ("b.c.d.e",), (None,)], "key string")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for limit in (url_filter.MAX_BYTES, 0):
+        got = {r.page_id: r.verdict for r in url_filter.url_filter(pages, listed, (), max_bytes=limit).collect()}
+        assert got == {0: "block", 1: "allow", 2: "allow", 3: "block", 4: "allow"}
+
+
 def test_cascade_is_exact_over_its_universe(spark):
     keys = spark.range(3000).select(F.concat(F.lit("key-"), "id").alias("key"))
     listed = keys.where(F.xxhash64("key") % 5 == 0).union(spark.createDataFrame([("elsewhere",), (None,)], "key string"))
