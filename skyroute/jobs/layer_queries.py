@@ -318,6 +318,7 @@ def read_shapefile_zips(spark, sf):
         out = io.BytesIO()
         with zipfile.ZipFile(out, "w") as archive:
             archive.writestr(f"Shapefile/Gba{sheet}.shp", shapes_)
+            archive.writestr(f"Shapefile/Gba{sheet}.shx", readers.encode_index(shapes_))
             archive.writestr(f"Shapefile/Gba{sheet}.dbf", readers.encode_attributes([{"ID": str(k)} for k in table.column("polygon_id").to_pylist()]))
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
@@ -328,7 +329,7 @@ def read_shapefile_zips(spark, sf):
     # a sheet is fifty buildings, whatever the size of the table
     rows = world.obstacles(spark, sf, raw=True).selectExpr("int(polygon_id div 50) sheet", "polygon_id", "rings")
     rows.groupBy("sheet").applyInArrow(write, "sheet int").write.parquet(scratch(spark, "sheets"))
-    read = readers.read_shapefile_zips(spark, f"{folder}/*_Shapefile.zip")
+    read = readers.read_shapefile_zips(spark, f"{folder}/*_Shapefile.zip", range_bytes=4096)
     points = F.aggregate("rings", F.lit(0).cast("long"), lambda a, r: a + F.size(r))
     sheet = F.regexp_extract("member", r"Gba(\d+)\.shp", 1).cast("int")
     return read.groupBy(sheet.alias("sheet")).agg(F.sum(F.size("rings")).alias("rings"), F.sum(points).alias("points"), F.sum(F.col("attributes")["ID"].cast("long")).alias("ids"))

@@ -5,7 +5,6 @@ JSON readers take one document per line, or one per file with ``multi_line``.
 
 from __future__ import annotations
 
-import io
 import struct
 import zipfile
 
@@ -14,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyroute.functions import ring_arrays
 from skyroute.operators.vertices import normalize_winding
 
 RINGS = "array<array<struct<x:double,y:double>>>"
@@ -180,21 +180,40 @@ def encode_shapes(polygons: list[list[list[tuple[float, float]]]]) -> bytes:
 _POLYGONS = (5, 15, 25)
 
 
-def decode_shapes(data: bytes) -> list[list[list[tuple[float, float]]] | None]:
-    """Rings of every polygon record, and None for each record of another type; rings of fewer than three points are dropped."""
-    at, out = 100, []
+def shape_arrays(data: bytes) -> pa.Array:
+    """Rings of the polygon records that ``data`` consists of, and null for each record of another type; rings of fewer than three points are dropped."""
+    at, xy, sizes, counts, null = 0, [], [], [], []
     while at + 8 <= len(data):
         size = struct.unpack_from(">i", data, at + 4)[0] * 2
-        body = data[at + 8 : at + 8 + size]
+        body = memoryview(data)[at + 8 : at + 8 + size]
         at += 8 + size
-        if struct.unpack_from("<i", body)[0] not in _POLYGONS:
-            out.append(None)
-            continue
-        n_parts, n_points = struct.unpack_from("<ii", body, 36)
-        starts = [*np.frombuffer(body, "<i4", n_parts, 44).tolist(), n_points]
-        xy = np.frombuffer(body, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2).tolist()
-        out.append([[tuple(p) for p in xy[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True) if b - a >= 3])
-    return out
+        known = struct.unpack_from("<i", body)[0] in _POLYGONS
+        null.append(not known)
+        counts.append(0)
+        if known:
+            n_parts, n_points = struct.unpack_from("<ii", body, 36)
+            points = np.frombuffer(body, "<f8", 2 * n_points, 44 + 4 * n_parts).reshape(-1, 2)
+            lengths = np.diff(np.frombuffer(body, "<i4", n_parts, 44), append=n_points)
+            xy.append(points[np.repeat(lengths >= 3, lengths)])
+            sizes.append(lengths[lengths >= 3])
+            counts[-1] = len(sizes[-1])
+    points = np.concatenate([np.zeros((0, 2)), *xy])
+    return ring_arrays.nested(points[:, 0], points[:, 1], np.concatenate([np.zeros(0, dtype=np.int64), *sizes]), np.array(counts, dtype=np.int64), np.array(null, dtype=bool))
+
+
+def decode_shapes(data: bytes) -> list[list[list[tuple[float, float]]] | None]:
+    """Rings of every record of a .shp file, as ``shape_arrays`` gives them."""
+    return [None if r is None else [[(p["x"], p["y"]) for p in ring] for ring in r] for r in shape_arrays(data[100:]).to_pylist()]
+
+
+def encode_index(shapes: bytes) -> bytes:
+    """The .shx file of a .shp file: where each record begins, and the length of its content."""
+    out, at = b"", 100
+    while at + 8 <= len(shapes):
+        (words,) = struct.unpack_from(">i", shapes, at + 4)
+        out += struct.pack(">ii", at // 2, words)
+        at += 8 + 2 * words
+    return shapes[:24] + struct.pack(">i", (100 + len(out)) // 2) + shapes[28:100] + out
 
 
 def encode_attributes(rows: list[dict[str, str]]) -> bytes:
@@ -212,47 +231,108 @@ def decode_attributes(data: bytes) -> list[dict[str, str | None]]:
 
     Text is UTF-8, or Latin-1 where it is not.
     """
+    n, start, width = struct.unpack_from("<IHH", data, 4)
+    return _attribute_rows(data[:start], data[start : start + n * width])
 
+
+def _attribute_rows(head: bytes, body: bytes) -> list[dict[str, str | None]]:
     def text(value: bytes) -> str:
         try:
             return value.decode()
         except UnicodeDecodeError:
             return value.decode("latin-1")
 
-    n, start, width = struct.unpack_from("<IHH", data, 4)
+    start, width = struct.unpack_from("<HH", head, 8)
     fields, at, place = [], 32, 1
-    while at + 32 <= start and data[at] != 0x0D:
-        fields.append((text(data[at : at + 11].split(b"\0")[0]), place, place + data[at + 16]))
-        place += data[at + 16]
+    while at + 32 <= start and head[at] != 0x0D:
+        fields.append((text(head[at : at + 11].split(b"\0")[0]), place, place + head[at + 16]))
+        place += head[at + 16]
         at += 32
-    rows = (data[start + k * width : start + (k + 1) * width] for k in range(n))
+    rows = (body[k : k + width] for k in range(0, len(body) - width + 1, width))
     return [{name: text(r[a:b]).strip(" \0") or None for name, a, b in fields} for r in rows]
 
 
-def read_shapefile_zips(spark: SparkSession, pattern: str, member: str = r"(^|/)Shapefile/[^/]+\.shp$") -> DataFrame:
-    """(path, member, record, rings, attributes) of all polygons in all archives that the pattern matches; one archive is one task's row.
+def _opened(path: str) -> zipfile.ZipFile:
+    """An archive of which only what is asked for is read."""
+    from pyarrow import fs
 
-    Records that are no polygons are rejected: they have a row with null rings.  Attributes are those of the same record in the
-    table (.dbf) beside the shapes; they are null where there is no table or no such record.
+    store, place = fs.FileSystem.from_uri(path)
+    return zipfile.ZipFile(store.open_input_file(place))
+
+
+def _record_starts(archive: zipfile.ZipFile, name: str, index: str | None) -> np.ndarray:
+    """Where each record of a member begins, and where the last one ends: from the index if it lists the file's records one after the other, else from their heads."""
+    size = archive.getinfo(name).file_size
+    if index:
+        at, words = np.frombuffer(archive.read(index)[100:], ">i4").reshape(-1, 2).astype(np.int64).T
+        starts, ends = 2 * at, 2 * (at + words) + 8
+        if len(starts) and starts[0] == 100 and ends[-1] <= size and (starts[1:] == ends[:-1]).all():
+            return np.append(starts, ends[-1])
+    found, at = [100], 100
+    with archive.open(name) as member:
+        while at + 8 <= size:
+            member.seek(at)
+            at += 8 + 2 * struct.unpack(">i", member.read(8)[4:])[0]
+            found.append(at)
+    return np.array(found, dtype=np.int64)
+
+
+def shapefile_ranges(spark: SparkSession, pattern: str, member: str = r"(^|/)Shapefile/[^/]+\.shp$", range_bytes: int = 16 << 20) -> DataFrame:
+    """(path, member, first, last, start, stop): the records from ``first`` up to ``last`` of every member, at the bytes from ``start`` up to ``stop``.
+
+    Planned by tasks, not by the driver: an archive's task reads its directory and its indexes only.  A range has ``range_bytes`` of shapes, or one record.
     """
     import re
 
-    point = pa.struct([("x", pa.float64()), ("y", pa.float64())])
-    kinds = [("path", pa.string()), ("member", pa.string()), ("record", pa.int32()), ("rings", pa.list_(pa.list_(point))), ("attributes", pa.map_(pa.string(), pa.string()))]
+    kinds = pa.schema([("path", pa.string()), ("member", pa.string()), *((c, pa.int64()) for c in ("first", "last", "start", "stop"))])
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    tables = {n[:-4]: n for n in archive.namelist() if n.lower().endswith(".dbf")}
+            for path in batch.column(0).to_pylist():
+                with _opened(path) as archive:
+                    indexes = {n[:-4]: n for n in archive.namelist() if n.lower().endswith(".shx")}
                     for name in archive.namelist():
                         if re.search(member, name):
-                            shapes, table = decode_shapes(archive.read(name)), tables.get(name[:-4])
-                            fields = decode_attributes(archive.read(table)) if table else []
-                            rings = [None if r is None else [[{"x": x, "y": y} for x, y in ring] for ring in r] for r in shapes]
-                            found = [list(fields[k].items()) if k < len(fields) else None for k in range(len(shapes))]
-                            columns = [[path] * len(shapes), [name] * len(shapes), list(range(len(shapes))), rings, found]
-                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
-
-    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
-    return files.mapInArrow(run, f"path string, member string, record int, rings {RINGS}, attributes map<string,string>")
+                            at = _record_starts(archive, name, indexes.get(name[:-4]))
+                            first = np.flatnonzero(np.diff((at[:-1] - 100) // range_bytes, prepend=-1))
+                            last = np.append(first[1:], len(at) - 1) if len(first) else first
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([path] * len(first), [name] * len(first), first, last, at[first], at[last]), kinds.types, strict=True)], schema=kinds)
+
+    return spark.read.format("binaryFile").load(pattern).select("path").mapInArrow(run, "path string, member string, first long, last long, start long, stop long")
+
+
+def read_shapefile_zips(spark: SparkSession, pattern: str, member: str = r"(^|/)Shapefile/[^/]+\.shp$", range_bytes: int = 16 << 20) -> DataFrame:
+    """(path, member, record, rings, attributes) of all polygons in all archives that the pattern matches.
+
+    A range of records (``shapefile_ranges``) is one task's row, so an archive is read by as many tasks as it has ranges, each of which holds one
+    range.  Stored members are read from the range's first byte on, compressed ones are unpacked up to it.
+    Records that are no polygons are rejected: they have a row with null rings.  Attributes are those of the same record in the
+    table (.dbf) beside the shapes; they are null where there is no table or no such record.  Archives are opened by ``pyarrow.fs``.
+    """
+    kinds = [("path", pa.string()), ("member", pa.string()), ("record", pa.int32()), ("rings", ring_arrays.RINGS), ("attributes", pa.map_(pa.string(), pa.string()))]
+
+    def attributes(archive: zipfile.ZipFile, table: str, first: int, last: int) -> list[dict[str, str | None]]:
+        with archive.open(table) as f:
+            head = f.read(32)
+            n, start, width = struct.unpack_from("<IHH", head, 4)
+            head += f.read(start - 32)
+            f.seek(start + min(first, n) * width)
+            return _attribute_rows(head, f.read((min(last, n) - min(first, n)) * width))
+
+    def run(batches):
+        for batch in batches:
+            for path, name, first, last, start, stop in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with _opened(path) as archive:
+                    tables = {n[:-4]: n for n in archive.namelist() if n.lower().endswith(".dbf")}
+                    with archive.open(name) as f:
+                        f.seek(start)
+                        rings = shape_arrays(f.read(stop - start))
+                    table, n = tables.get(name[:-4]), last - first
+                    fields = attributes(archive, table, first, last) if table else []
+                    found = [list(f.items()) for f in fields] + [None] * (n - len(fields))
+                    columns = [[path] * n, [name] * n, list(range(first, last)), rings, found]
+                    yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], schema=pa.schema(kinds))
+
+    # a fixed number of partitions, as the rows are small but what they stand for is not
+    ranges = shapefile_ranges(spark, pattern, member, range_bytes).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "member", "first")
+    return ranges.mapInArrow(run, f"path string, member string, record int, rings {RINGS}, attributes map<string,string>")

@@ -43,3 +43,30 @@ def test_archives_with_and_without_attributes(spark, tmp_path):
     rows = sorted(((r.member, r.record, r.attributes, len(r.rings)) for r in read_shapefile_zips(spark, f"file://{tmp_path}/*.zip").collect()), key=lambda r: r[:2])
     assert [r[:2] for r in rows] == [("Shapefile/a.shp", 0), ("Shapefile/a.shp", 1), ("Shapefile/b.shp", 0), ("Shapefile/b.shp", 1)]
     assert [r[2] for r in rows] == [{"ID": "7"}, None, None, None] and all(r[3] == 2 for r in rows)
+
+
+def test_one_archive_by_several_tasks(spark, tmp_path):
+    from skyroute.sources.readers import encode_index, shapefile_ranges
+
+    def ring(k):
+        return [[(float(k), float(i)) for i in range(4 + k % 7)]]
+
+    shapes = encode_shapes([ring(k) for k in range(200)])
+    for name, how, index in (("deflated", zipfile.ZIP_DEFLATED, True), ("stored", zipfile.ZIP_STORED, True), ("unlisted", zipfile.ZIP_DEFLATED, False)):
+        with zipfile.ZipFile(tmp_path / f"{name}.zip", "w", how) as archive:
+            archive.writestr(f"Shapefile/{name}.shp", shapes)
+            archive.writestr(f"Shapefile/{name}.dbf", encode_attributes([{"ID": str(k)} for k in range(150)]))
+            if index:
+                archive.writestr(f"Shapefile/{name}.shx", encode_index(shapes))
+    with zipfile.ZipFile(tmp_path / "none.zip", "w") as archive:
+        archive.writestr("Shapefile/none.shp", shapes[:100])
+    pattern = f"file://{tmp_path}/*.zip"
+    ranges = [r for r in shapefile_ranges(spark, pattern, range_bytes=1000).collect() if r.member == "Shapefile/stored.shp"]
+    assert len(ranges) > 10 and sum(r["last"] - r["first"] for r in ranges) == 200
+    by_range = read_shapefile_zips(spark, pattern, range_bytes=1000)
+    assert by_range.selectExpr("spark_partition_id() p").distinct().count() > 1
+    rows = by_range.collect()
+    assert len(rows) == 600 and sorted(map(repr, rows)) == sorted(map(repr, read_shapefile_zips(spark, pattern).collect()))
+    for r in rows:
+        assert [[tuple(p) for p in x] for x in r.rings] == ring(r.record)
+        assert r.attributes == ({"ID": str(r.record)} if r.record < 150 else None)
