@@ -201,6 +201,43 @@ def path_zone_conflicts(spark, sf):
     return airspace.path_zone_conflicts(world.paths(spark, sf), world.zones(spark, sf), 120.0)
 
 
+_EDGES = ", ".join(
+    f"[{part}, {g}, {a[0]}, {a[1]}, {b[0]}, {b[1]}]"
+    for part, g, corners in ((0, 1, world.ZONE_OUTER), (0, 1, world.ZONE_HOLE), (1, 3, world.ZONE_PART))
+    for a, b in zip(corners, corners[1:] + corners[:1], strict=True)
+)
+
+
+@query(f"""WITH {O.PATHS}, {O.ZONES}, e AS (SELECT zone_id, e[1] part, min_x + e[3] x1, min_y + e[4] y1, min_x + e[5] x2, min_y + e[6] y2
+  FROM (SELECT zone_id, min_x, min_y, unnest([{_EDGES}]) e FROM zones WHERE trunc(lower_limit) <= 120 AND ceil(upper_limit) >= 120) WHERE zone_id % e[2] = 0),
+s AS (SELECT *, {O.distance('x', 'y', 'nx', 'ny')} len FROM (SELECT *, lead(x) OVER w nx, lead(y) OVER w ny FROM paths WINDOW w AS (PARTITION BY path_id ORDER BY seq)) WHERE nx IS NOT NULL),
+st AS (SELECT *, sum(len) OVER (PARTITION BY path_id ORDER BY seq) - len AS before FROM s),
+m AS (SELECT path_id, seq, ((x1 - x) * (y2 - y1) - (y1 - y) * (x2 - x1)) / d t, ((x1 - x) * (ny - y) - (y1 - y) * (nx - x)) / d u
+  FROM (SELECT *, (nx - x) * (y2 - y1) - (ny - y) * (x2 - x1) d FROM st, e) WHERE d <> 0),
+c AS (SELECT DISTINCT path_id, seq, t FROM m WHERE t > 0 AND t < 1 AND u BETWEEN -1e-9 AND 1 + 1e-9 UNION SELECT path_id, seq, 0 FROM st),
+w AS (SELECT *, coalesce(lead(t) OVER (PARTITION BY path_id, seq ORDER BY t), 1) til FROM c JOIN st USING (path_id, seq)),
+p AS (SELECT *, row_number() OVER (PARTITION BY path_id ORDER BY seq, t) n, x + (t + til) / 2 * (nx - x) mx, y + (t + til) / 2 * (ny - y) my FROM w WHERE (til - t) * len > 1e-9),
+h AS (SELECT path_id, n, zone_id, part, count(*) FILTER (my >= least(y1, y2) AND my < greatest(y1, y2) AND x1 + (my - y1) * (x2 - x1) / nullif(y2 - y1, 0) > mx) k,
+    count(*) FILTER (my BETWEEN least(y1, y2) AND greatest(y1, y2) AND x1 + (my - y1) * (x2 - x1) / nullif(y2 - y1, 0) = mx) on_edge FROM p, e GROUP BY ALL),
+i AS (SELECT *, n - row_number() OVER (PARTITION BY path_id, zone_id ORDER BY n) run FROM (SELECT DISTINCT path_id, n, zone_id FROM h WHERE k % 2 = 1 AND on_edge = 0))
+SELECT i.path_id, zone_id, round(min(p.before + p.t * p.len), 6) enters, round(max(p.before + p.til * p.len), 6) leaves,
+  coalesce(array_to_string(list_sort((SELECT list(condition) FROM conds k, zones z WHERE lower(k.category) = lower(z.category) AND z.zone_id = i.zone_id)), ' / '), '') conditions
+FROM i JOIN p USING (path_id, n) GROUP BY i.path_id, zone_id, run""")
+def zone_passages(spark, sf):
+    """Where paths at an altitude of 120 enter and leave zones that are no boxes, written as GeoJSON and read back, with the zones' conditions."""
+    z = world.shaped_zones(spark, sf)
+    many = F.size("polygons") > 1
+    feature = F.struct(
+        F.struct(F.format_string("%d %s", "zone_id", "name").alias("name"), F.col("lower").alias("lowerLimit"), F.col("upper").alias("upperLimit"), F.col("category").alias("categories")).alias("properties"),
+        F.when(many, F.struct(F.lit("MultiPolygon").alias("type"), F.to_json("polygons").alias("coordinates"))).otherwise(F.struct(F.lit("Polygon").alias("type"), F.to_json(F.col("polygons")[0]).alias("coordinates"))).alias("geometry"),
+    )
+    path = scratch(spark, "geozones")
+    z.select(F.to_json(F.struct(F.array(feature).alias("features"))).alias("value")).write.text(path)
+    zones = readers.read_geozones(spark, path).withColumn("zone_id", F.split("name", " ")[0].cast(z.schema["zone_id"].dataType))
+    passages = airspace.zone_passages(world.paths(spark, sf), zones, world.conditions(spark, sf), 120.0)
+    return passages.select("path_id", "zone_id", F.round("enters", 6).alias("enters"), F.round("leaves", 6).alias("leaves"), F.array_join("conditions", " / ").alias("conditions"))
+
+
 _AREA = f"""{O.RINGS}, sizes AS (SELECT area, k polygon_id, CASE WHEN k % 4 = 0 THEN s * s * 3 / 4 ELSE s * s END
   - CASE WHEN k % 7 = 0 AND k % 4 <> 0 THEN (s - 2 * (s // 4)) * (s - 2 * (s // 4)) ELSE 0 END px FROM parts)"""
 

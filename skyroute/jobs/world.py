@@ -73,6 +73,18 @@ def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Corners of a zone that is no box, of its hole, and of the second part that every third zone has.
+ZONE_OUTER, ZONE_HOLE, ZONE_PART = ((0, 0), (300, 60), (180, 300), (40, 200)), ((100, 90), (100, 180), (190, 120)), ((310, 310), (380, 320), (320, 390))
+
+
+def shaped_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The zones with polygons in place of boxes, as the GeoJSON reader gives them."""
+    ring = lambda corners: F.array(*(F.array(F.col("min_x") + x, F.col("min_y") + y) for x, y in (*corners, corners[0])))
+    first = F.array(ring(ZONE_OUTER), ring(ZONE_HOLE))
+    polygons = F.when(F.col("zone_id") % 3 == 0, F.array(first, F.array(ring(ZONE_PART)))).otherwise(F.array(first))
+    return zones(spark, sf_dir).select("zone_id", "name", F.col("lower").cast("int").alias("lower"), F.ceil("upper").cast("int").alias("upper"), "category", polygons.alias("polygons"))
+
+
 def conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "region").where("r_regionkey <> 4").selectExpr("r_name category", "explode(array(concat('ask the ', r_name), concat('avoid ', r_name))) condition")
 

@@ -43,7 +43,7 @@ def test_rows_of_queries_without_sql(spark, name):
     assert queries.queries()[name](spark, SF).count() > 0
 
 
-@pytest.mark.parametrize("name", ["points_in_polygons", "visible_pairs", "bbox_intersects", "recharge_candidates", "path_zone_conflicts", "rasterize", "propulsion_sweep"])
+@pytest.mark.parametrize("name", ["points_in_polygons", "visible_pairs", "bbox_intersects", "recharge_candidates", "path_zone_conflicts", "zone_passages", "rasterize", "propulsion_sweep"])
 def test_plans_without_nested_loops(spark, name):
     plan = queries.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
