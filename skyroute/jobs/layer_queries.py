@@ -13,7 +13,7 @@ from skyroute.jobs import oracles as O
 from skyroute.jobs import vision_queries as vision
 from skyroute.jobs import world
 from skyroute.operators import airspace, chips, overlay, shapes, vertices
-from skyroute.sources import readers, writers
+from skyroute.sources import collection, readers, writers
 from skyroute.sources.staging import scratch
 
 QUERIES: dict = {}
@@ -163,6 +163,55 @@ def write_path_geojson(spark, sf):
     return back.select("properties.request_id", F.size("geometry.coordinates").alias("points"), "properties.distance")
 
 
+#: Where the towns lie in EPSG 3035, so that their rings are metres of it.
+_EAST, _NORTH = 3_900_000.0, 3_100_000.0
+
+
+def _moved(point):
+    return F.struct((point["x"] + _EAST).alias("x"), (point["y"] + _NORTH).alias("y"))
+
+
+def _metres(lng, lat):
+    x, y = projections.to_internal(lng, lat)
+    return F.round(x - _EAST, 3).alias("x"), F.round(y - _NORTH, 3).alias("y")
+
+
+@query(f"""WITH {O.RINGS} SELECT k polygon_id, 'building' AS "type", CAST(ring_idx AS INTEGER) ring_idx, CAST(i AS INTEGER) i, CAST(x0 + pts[p][1] AS DOUBLE) x, CAST(y0 + pts[p][2] AS DOUBLE) y
+FROM (SELECT *, CASE WHEN raw_turn > 0 THEN i % n ELSE (n - i) % n END + 1 p FROM (SELECT *, unnest(range(n + 1)) i FROM turned))""")
+def write_class_collection(spark, sf):
+    """The buildings in degrees as one FeatureCollection in one file, read back: every corner in metres."""
+    rings = F.transform("rings", lambda r: F.transform(r, _moved))
+    p = world.obstacles(spark, sf, raw=True).select("polygon_id", rings.alias("rings"), F.concat(F.lit("building-"), F.col("polygon_id").cast("string")).alias("class"))
+    path = scratch(spark, "map") + ".geojson"
+    collection.write_collection(writers.class_features(writers.rings_in_degrees(p), "class"), path)
+    shape = "type string, features array<struct<properties:struct<type:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
+    back = spark.read.schema(shape).json(path, multiLine=True).where("type = 'FeatureCollection'").select(F.explode("features").alias("f"))
+    name = F.split("f.properties.type", "-")
+    corners = back.select(name[1].cast("long").alias("polygon_id"), name[0].alias("type"), F.posexplode("f.geometry.coordinates").alias("ring_idx", "ring"))
+    corners = corners.select("polygon_id", "type", "ring_idx", F.posexplode("ring").alias("i", "c"))
+    return corners.select("polygon_id", "type", "ring_idx", "i", *_metres(F.col("c")[0], F.col("c")[1]))
+
+
+@query(f"""WITH {O.PATHS}, l AS (SELECT path_id, max_by(x, seq) tx, max_by(y, seq) ty, count(*) n FROM paths GROUP BY path_id)
+SELECT path_id request_id, 'Point' AS "type", 0 AS i, tx x, ty y FROM l
+UNION ALL SELECT path_id, 'LineString', CAST(row_number() OVER (PARTITION BY path_id ORDER BY seq) - 1 AS INTEGER), x, y FROM paths JOIN l USING (path_id) WHERE n > 1""")
+def write_leg_geojson(spark, sf):
+    """Paths as legs in degrees, written and read back: where each ends, and the points of its line in metres."""
+    points = world.paths(spark, sf).groupBy("path_id").agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("p"))
+    line = F.transform("p", _moved)
+    target = F.element_at(line, -1)
+    legs = points.select(
+        F.col("path_id").alias("request_id"), F.lit(0).alias("leg_no"), F.lit("end").alias("status"), target["x"].alias("target_x"), target["y"].alias("target_y"), line.alias("line"), F.lit(0.0).alias("length")
+    )
+    path = scratch(spark, "legs")
+    writers.write_features(writers.leg_features(writers.legs_in_degrees(legs)), path)
+    back = spark.read.schema("properties struct<request_id:long,status:string>, geometry struct<type:string,coordinates:string>").json(path).where("properties.status = 'end'")
+    text = F.col("geometry.coordinates")
+    at = F.when(F.col("geometry.type") == "Point", F.array(F.from_json(text, "array<double>"))).otherwise(F.from_json(text, "array<array<double>>"))
+    rows = back.select("properties.request_id", "geometry.type", F.posexplode(at).alias("i", "c"))
+    return rows.select("request_id", "type", "i", *_metres(F.col("c")[0], F.col("c")[1]))
+
+
 @query(f"WITH {O.RINGS}, {O.vertices('norm_turn')} SELECT area, polygon_id, ring_idx, x, y, left_x, left_y FROM verts")
 def read_polygon_layer(spark, sf):
     """The buildings as well-known binary, and back."""

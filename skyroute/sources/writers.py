@@ -5,11 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyroute.functions.projections import to_external
+
 
 def _points(ring: Column) -> Column:
     return F.transform(ring, lambda p: F.array(p["x"], p["y"]))
 
 
+def _degrees(point: Column) -> Column:
+    lng, lat = to_external(point["x"], point["y"])
+    return F.struct(lng.alias("x"), lat.alias("y"))
+
+
+def rings_in_degrees(polygons: DataFrame) -> DataFrame:
+    """Polygons with rings in EPSG 3035 metres as longitudes and latitudes."""
+    return polygons.withColumn("rings", F.transform("rings", lambda ring: F.transform(ring, _degrees)))
+
+
+def points_in_degrees(rows: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """Rows with a point in EPSG 3035 metres as longitude and latitude."""
+    lng, lat = to_external(F.col(x), F.col(y))
+    return rows.withColumns({x: lng, y: lat})
+
+
+def legs_in_degrees(legs: DataFrame) -> DataFrame:
+    """Legs with target and line in EPSG 3035 metres as longitudes and latitudes."""
+    return points_in_degrees(legs, "target_x", "target_y").withColumn("line", F.transform("line", _degrees))
+
+
 def feature(kind: str, coordinates: Column, properties: Column) -> Column:
     geometry = F.struct(F.lit(kind).alias("type"), coordinates.alias("coordinates"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), geometry.alias("geometry")))
@@ -37,8 +60,14 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def leg_features(legs: DataFrame) -> DataFrame:
-    """(value): a Point feature of each leg's target with the leg's number, status and length."""
-    return legs.select(feature("Point", F.array("target_x", "target_y"), F.struct("request_id", "leg_no", "status", "length")).alias("value"))
+    """(value): of each leg (request_id, leg_no, status, target_x, target_y, line, length) the Point it ends at and the LineString it follows.
+
+    A leg without a target has no Point, one without a line of two points has no LineString.
+    """
+    properties = F.struct("request_id", "leg_no", "status", "length")
+    point = F.when(F.col("target_x").isNotNull() & F.col("target_y").isNotNull(), feature("Point", F.array("target_x", "target_y"), properties))
+    line = F.when(F.size("line") > 1, feature("LineString", _points(F.col("line")), properties))
+    return legs.select(F.explode(F.array_compact(F.array(point, line))).alias("value"))
 
 
 def write_features(features: DataFrame, path: str) -> None:
