@@ -304,6 +304,50 @@ def rasterize(spark, sf):
     return shapes.rasterize(world.obstacles(spark, sf, raw=True)).groupBy("area", "polygon_id").agg(F.count("*").alias("pixels"))
 
 
+#: Pixels of a tile's side, the labels in the order in which they are painted, and the ground.
+_SIDE, _LAYERS, _GROUND = 70, {"building": (75, 25, 230), "water": (48, 130, 245)}, (255, 255, 255)
+
+
+@query(f"""WITH {O.RINGS}, tri AS (SELECT k, area, x0 + 15 x0, y0 + 10 y0, [[0, 0], [s, s // 3], [s // 4, s]] pts FROM parts),
+c AS (SELECT 1 r, k, area, x0, y0, pts, unnest(range(len(pts))) i FROM rings UNION ALL SELECT 2, k, area, x0, y0, pts, unnest(range(3)) FROM tri),
+e AS (SELECT r, k, area, x0 + pts[i + 1][1] x1, y0 + pts[i + 1][2] y1, x0 + pts[(i + 1) % len(pts) + 1][1] x2, y0 + pts[(i + 1) % len(pts) + 1][2] y2 FROM c),
+box AS (SELECT r, k, area, min(x1) x_min, max(x1) x_max, min(y1) y_min, max(y1) y_max FROM e GROUP BY ALL),
+px AS (SELECT *, unnest(range(y_min, y_max + 1)) py FROM (SELECT *, unnest(range(x_min, x_max + 1)) px FROM box)),
+inside AS (SELECT r, k, area, px, py FROM px JOIN e USING (r, k, area) WHERE y1 <> y2 AND py >= least(y1, y2) AND py < greatest(y1, y2)
+  AND x1 + (py - y1) * (x2 - x1) / (y2 - y1)::DOUBLE > px GROUP BY ALL HAVING count(*) % 2 = 1),
+border AS (SELECT r, k, area, floor(x1 + (py - y1) * (x2 - x1) / (y2 - y1)::DOUBLE + 0.5)::BIGINT px, py FROM (SELECT *, unnest(range(least(y1, y2), greatest(y1, y2) + 1)) py FROM e WHERE abs(x2 - x1) <= abs(y2 - y1))
+  UNION ALL SELECT r, k, area, px, floor(y1 + (px - x1) * (y2 - y1) / (x2 - x1)::DOUBLE + 0.5)::BIGINT FROM (SELECT *, unnest(range(least(x1, x2), greatest(x1, x2) + 1)) px FROM e WHERE abs(x2 - x1) > abs(y2 - y1))),
+top AS (SELECT area, px, py, max(r) r FROM (SELECT area, px, py, r FROM inside UNION ALL SELECT area, px, py, r FROM border) GROUP BY ALL),
+t AS (SELECT area, px // {_SIDE} tx, py // {_SIDE} ty, r, count(*) n, sum(px % {_SIDE} + py % {_SIDE} * {_SIDE}) places FROM top GROUP BY ALL),
+g AS (SELECT area, tx, ty FROM (SELECT DISTINCT area FROM parts), (SELECT unnest(range(15)) tx), (SELECT unnest(range(15)) ty)),
+a AS (SELECT g.*, coalesce(sum(n), 0) n, coalesce(sum(places), 0) places FROM g LEFT JOIN t USING (area, tx, ty) GROUP BY ALL)
+SELECT area, CAST(tx AS BIGINT) tx, CAST(ty AS BIGINT) ty, CASE r WHEN 1 THEN 'building' ELSE 'water' END AS label, CAST(n AS BIGINT) pixels, CAST(places AS BIGINT) places FROM t
+UNION ALL SELECT area, CAST(tx AS BIGINT), CAST(ty AS BIGINT), 'ground', CAST({_SIDE * _SIDE} - n AS BIGINT), CAST({_SIDE * _SIDE * (_SIDE * _SIDE - 1) // 2} - places AS BIGINT) FROM a WHERE n < {_SIDE * _SIDE}""")
+def paint_tiles(spark, sf):
+    """Masks of each town in tiles, buildings with borders and triangles over them: pixels of each label, and the sum of their places in the tile."""
+    import numpy as np
+    import pyarrow as pa
+
+    buildings = world.obstacles(spark, sf, raw=True).withColumn("label", F.lit("building"))
+    over = world.triangles(spark, sf).selectExpr("area", "polygon_id + 1000000000000 polygon_id", "rings", "'water' label")
+    tiles = buildings.select("area").distinct().selectExpr("area", "explode(sequence(0, 14)) tx").selectExpr("area", "tx", "explode(sequence(0, 14)) ty")
+    images = shapes.paint_tiles(tiles, buildings.select("area", "polygon_id", "rings", "label").unionByName(over), _LAYERS, _GROUND, _SIDE)
+    names = {**_LAYERS, "ground": _GROUND}
+
+    def counted(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                pixels = np.frombuffer(row["data"], np.uint8).reshape(-1, 3)
+                found = {name: np.flatnonzero((pixels == colour).all(axis=1)) for name, colour in names.items()}
+                kept = {name: at for name, at in found.items() if len(at)}
+                n = len(kept)
+                columns = [[row[c]] * n for c in ("area", "tx", "ty")] + [list(kept), [len(at) for at in kept.values()], [int(at.sum()) for at in kept.values()]]
+                kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["area", "tx", "ty", "label", "pixels", "places"])
+
+    return images.mapInArrow(counted, "area int, tx long, ty long, label string, pixels long, places long")
+
+
 @query(f"""WITH {O.PIXELS} SELECT image_id, CAST(CASE colour WHEN 'building' THEN 1 ELSE 2 END AS INTEGER) category, CAST(count(*) AS DOUBLE) pixels FROM pixels WHERE colour IN ('building', 'water') GROUP BY ALL""")
 def mask_to_polygons(spark, sf):
     """Outlines of each category; their signed areas sum up to its pixels."""

@@ -35,6 +35,14 @@ def obstacles(spark: SparkSession, sf_dir: str, raw: bool = False) -> DataFrame:
     return base.selectExpr("area", "k polygon_id", f"IF(k % 2 = 1, transform({rings}, r -> reverse(r)), {rings}) rings")
 
 
+def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(area, polygon_id, rings): a slanted triangle beside and over each building."""
+    base = table(spark, sf_dir, "part").selectExpr("p_partkey k", "p_size").selectExpr(
+        "k", "int(k div 100) area", "k % 100 % 10 * 100 + k * 37 % 30 + 15 x0", "k % 100 div 10 * 100 + k * 53 % 30 + 10 y0", "2 * (5 + p_size div 2) s"
+    )
+    return base.selectExpr("area", "k polygon_id", f"array({_ring([('0', '0'), ('s', 's div 3'), ('s div 4', 's')])}) rings")
+
+
 def waters(spark: SparkSession, sf_dir: str) -> DataFrame:
     square = [("0", "0"), ("6", "0"), ("6", "6"), ("0", "6")]
     base = table(spark, sf_dir, "supplier").selectExpr(
