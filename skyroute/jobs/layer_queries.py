@@ -12,7 +12,7 @@ from skyroute.functions import projections
 from skyroute.jobs import oracles as O
 from skyroute.jobs import vision_queries as vision
 from skyroute.jobs import world
-from skyroute.operators import airspace, chips, overlay, shapes, vertices
+from skyroute.operators import airspace, chips, design, overlay, shapes, vertices
 from skyroute.sources import collection, readers, writers
 from skyroute.sources.staging import scratch
 
@@ -85,6 +85,34 @@ def read_chip_metadata(spark, sf):
     return readers.read_chip_metadata(spark, path)
 
 
+@query(f"""WITH {O.CHIP_LABELS} SELECT c.stem, l.label, CAST(l.pixels AS BIGINT) pixels, CAST(300 AS INTEGER) width, CAST(200 AS INTEGER) height, CAST(150 AS INTEGER) stride_x, CAST(100 AS INTEGER) stride_y
+FROM chips c LEFT JOIN chip_labels l USING (stem)""")
+def write_chip_metadata(spark, sf):
+    """Label pixels of chips written with the chips' size and stride, and read back."""
+    path = scratch(spark, "metadata")
+    counts = world.chip_labels(spark, sf).select("stem", F.explode_outer("labels").alias("label", "pixels"))
+    writers.write_chip_metadata(counts, path, (300, 200), (150, 100))
+    return readers.read_chip_metadata(spark, path).join(readers.read_chip_grids(spark, path), "stem")
+
+
+@query("""WITH l AS (SELECT l_suppkey sheet, l_linenumber = 1 AS whole, l_extendedprice price, l_quantity n FROM lineitem),
+s AS (SELECT sheet, count(*) parts, sum(CASE WHEN whole THEN price ELSE price * n END) total FROM l GROUP BY sheet)
+SELECT CAST(sheet AS BIGINT) sheet, parts, round(total, 1) total, CASE WHEN sheet % 7 = 0 THEN NULL WHEN sheet % 5 = 0 THEN round(total, 1) + 10 ELSE round(total, 1) END printed, sheet % 7 <> 0 AND sheet % 5 <> 0 agrees FROM s""")
+def reconcile(spark, sf):
+    """A weight sheet of each supplier, with blank lines and a printed total (wrong on some, lacking on others), written, read and summed up."""
+    line = world.table(spark, sf, "lineitem").selectExpr("bigint(l_suppkey) of", "l_linenumber k", "concat('part ', l_partkey) part", "double(l_extendedprice) price", "double(l_quantity) n")
+    blank = "double(null)"
+    lines = line.selectExpr("of", "part", f"{blank} volume", f"{blank} solid", "IF(k = 1, null, price) unit", f"{blank} area", "IF(k = 1, null, n) count", "IF(k = 1, price, price * n) total")
+    empty = line.where("k = 2").selectExpr("of", "string(null) part", *(f"{blank} {c}" for c in ("volume", "solid", "unit", "area", "count", "total")))
+    sums = lines.where("of % 7 <> 0").groupBy("of").agg(F.round(F.sum("total"), 1).alias("total"))
+    totals = sums.selectExpr("of", "'Total' part", *(f"{blank} {c}" for c in ("volume", "solid", "unit", "area", "count")), "IF(of % 5 = 0, total + 10, total) total")
+    path = scratch(spark, "sheets")
+    lines.union(empty).union(totals).repartition("of").write.partitionBy("of").csv(path, header=True, sep="\t")
+    read = design.reconcile(*readers.read_parts_sheet(spark, path, readers.WEIGHT_SHEET, "\t"), tolerance=0.06)
+    sheet = F.regexp_extract("sheet", r"/of=(\d+)/", 1).cast("long")
+    return read.select(sheet.alias("sheet"), "parts", F.round("total", 1).alias("total"), "printed", "agrees")
+
+
 @query("SELECT 'chip-' || o_orderkey chip, CAST(o_orderkey % 1000 * 25 AS DOUBLE) x, CAST(o_orderkey // 1000 * 25 AS DOUBLE) y FROM orders")
 def read_chip_offsets(spark, sf):
     return _offsets(spark, sf)
@@ -118,6 +146,35 @@ def write_examples(spark, sf):
     return back.select(F.col("stem").alias("doc_id"), F.md5("image").alias("image"), F.decode("label_mask", "UTF-8").alias("label_mask"), "split")
 
 
+@query("""SELECT d.source || '-' || d.doc_id AS stem, CASE WHEN quality IS NOT NULL THEN md5(coalesce(d.text, '')) END image, md5(CAST(quality AS VARCHAR)) label_mask, quality IS NOT NULL AS paired
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.source IS NOT NULL""")
+def read_pairs(spark, sf):
+    """Texts of documents as images and their labels as masks, each a file that a task writes, paired by name; documents without label are mismatches."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    folder = scratch(spark, "pairs")
+
+    def write(batches):
+        for batch in batches:
+            store, root = fs.FileSystem.from_uri(folder)
+            for side in ("images", "masks"):
+                store.create_dir(f"{root}/{side}", recursive=True)
+            for row in batch.to_pylist():
+                for side, end in (("images", "jpg"), ("masks", "png")):
+                    if row[side] is not None:
+                        with store.open_output_stream(f"{root}/{side}/{row['stem']}.{end}") as f:
+                            f.write(row[side])
+            yield pa.RecordBatch.from_arrays([batch.column(0)], names=["stem"])
+
+    d, labels = world.table(spark, sf, "documents"), world.table(spark, sf, "labels").select("doc_id", "quality")
+    rows = d.where("source is not null").join(labels, "doc_id", "left").selectExpr("concat(source, '-', doc_id) stem", "encode(coalesce(text, ''), 'UTF-8') images", "encode(string(quality), 'UTF-8') masks")
+    rows.mapInArrow(write, "stem string").write.parquet(scratch(spark, "stems"))
+    pairs, mismatches = readers.read_pairs(spark, f"{folder}/images", f"{folder}/masks")
+    left = mismatches.select("stem", F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("label_mask"), F.lit(False).alias("paired"))
+    return pairs.select("stem", F.md5("image").alias("image"), F.md5("label_mask").alias("label_mask"), F.lit(True).alias("paired")).union(left)
+
+
 @query("""WITH h AS (SELECT CAST(user_id AS VARCHAR) run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) epoch, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)
 SELECT run, epoch, 'val_loss' metric, value FROM h""")
 def read_run_history(spark, sf):

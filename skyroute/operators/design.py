@@ -106,6 +106,20 @@ def parts_rollup(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.rollup(*keys).agg(F.count("*").alias("parts"), F.sum(line).alias("total"), F.grouping_id().cast("int").alias("level"))
 
 
+def reconcile(lines: DataFrame, printed: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """(sheet, parts, total, printed, difference, agrees): the lines of each sheet summed up beside the total printed on it.
+
+    A line is unit times count, or its given total where one of them is blank.  Without a printed total, or with several that differ, nothing agrees;
+    a printed total without lines stands beside 0.
+    """
+    line = F.coalesce(F.col("unit") * F.col("count"), F.col("total"))
+    sums = lines.groupBy("sheet").agg(F.count("*").alias("parts"), F.sum(line).alias("total"))
+    prints = printed.groupBy("sheet").agg(F.when(F.min("total") == F.max("total"), F.max("total")).alias("printed"))
+    both = sums.join(prints, "sheet", "full").withColumns({"parts": F.coalesce("parts", F.lit(0)), "total": F.coalesce("total", F.lit(0.0))})
+    both = both.withColumn("difference", F.col("printed") - F.col("total"))
+    return both.withColumn("agrees", F.coalesce(F.abs("difference") <= tolerance, F.lit(False)))
+
+
 def store_costs(receipts: DataFrame) -> DataFrame:
     """(store, items, price, paid, fees) of receipts (store, price, paid): sums, and what was paid over the price.
 

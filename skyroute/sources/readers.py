@@ -71,6 +71,13 @@ def read_chip_metadata(spark: SparkSession, path: str, *, multi_line: bool = Fal
     return meta.select(F.explode("nbroLabelPixels").alias("stem", "labels")).select("stem", F.explode_outer("labels").alias("label", "pixels"))
 
 
+def read_chip_grids(spark: SparkSession, path: str, *, multi_line: bool = False) -> DataFrame:
+    """(stem, width, height, stride_x, stride_y): the size of each chip and the step from chip to chip, null where the metadata has none."""
+    meta = spark.read.schema("size array<int>, stride array<int>, nbroLabelPixels map<string,map<string,bigint>>").json(path, multiLine=multi_line)
+    at = lambda c, k, name: F.get(c, F.lit(k)).alias(name)
+    return meta.select(F.explode(F.map_keys("nbroLabelPixels")).alias("stem"), at("size", 0, "width"), at("size", 1, "height"), at("stride", 0, "stride_x"), at("stride", 1, "stride_y"))
+
+
 def read_chip_offsets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("chip string, x double, y double").csv(path, header=True)
 
@@ -95,6 +102,54 @@ def pair_examples(images: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataF
     return pairs, mismatches
 
 
+def read_pairs(spark: SparkSession, images: str, masks: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, mismatches) of the files of two folders or patterns: (stem, image, label_mask), and stems that only one side has.
+
+    Names are paired before any file is read, so that contents are never shuffled: each task opens its pairs by ``pyarrow.fs``.  A stem is the name
+    without its last extension; where a side has a stem more than once, every file of it is paired.  An empty file counts as none: what
+    the other side has for it is a mismatch.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    listed = lambda p: spark.read.format("binaryFile").load(p).select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.col("path").alias("content"))
+    paths, mismatches = pair_examples(listed(images), listed(masks))
+
+    def run(batches):
+        from pyarrow import fs
+
+        def content(path: str) -> bytes:
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_stream(place) as f:
+                return f.read()
+
+        kinds = pa.schema([("stem", pa.string()), ("image", pa.binary()), ("label_mask", pa.binary())])
+        for batch in batches:
+            for row in batch.to_pylist():  # a batch of paths is short, one of contents may not be
+                yield pa.RecordBatch.from_pylist([{"stem": row["stem"], "image": content(row["image"]), "label_mask": content(row["label_mask"])}], kinds)
+
+    spread = paths.select("stem", "image", "label_mask").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stem")
+    return spread.mapInArrow(run, "stem string, image binary, label_mask binary"), mismatches
+
+
+#: Columns of the three parts sheets in their order, under the names that ``design.parts_rollup`` and ``design.store_costs`` take.
+WEIGHT_SHEET = "part string, volume double, solid double, unit double, area double, count double, total double"
+PRICE_SHEET = "part string, name string, store string, link string, unit double, count double, total double"
+RECEIPT_SHEET = "store string, link string, price double, paid double, fees double"
+
+
+def read_parts_sheet(spark: SparkSession, path: str, schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """(lines, printed) of sheets with a header: the lines with their file as ``sheet``, and the line of totals that each sheet has.
+
+    A line without anything in it is no line; the printed one is that whose first column is ``Total``, whatever its case.
+    """
+    rows = spark.read.schema(schema).csv(path, header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
+    names = [f.name for f in rows.schema.fields]
+    names = names[: len(schema.split(","))]  # folders named key=value add columns
+    empty = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in names)).isNull()
+    rows = rows.select(F.col("_metadata.file_path").alias("sheet"), *names).where(~empty)
+    total = F.lower(F.coalesce(F.col(names[0]), F.lit(""))) == "total"
+    return rows.where(~total), rows.where(total)
+
+
 # ----------------------------------------------------------------------------------------------- well-known binary
 
 

@@ -77,3 +77,12 @@ def write_features(features: DataFrame, path: str) -> None:
 def write_examples(examples: DataFrame, path: str) -> None:
     """Example pairs (stem, image, label_mask, split) as Parquet, a folder for each split."""
     examples.write.partitionBy("split").parquet(path)
+
+
+def write_chip_metadata(counts: DataFrame, path: str, size: tuple[int, int], stride: tuple[int, int]) -> None:
+    """Chip metadata of (stem, label, pixels) as ``readers.read_chip_metadata`` takes it, a line for each chip; a chip whose only row has no label has none."""
+    labels = F.map_from_entries(F.array_compact(F.sort_array(F.collect_list(F.when(F.col("label").isNotNull(), F.struct("label", "pixels"))))))
+    pair = lambda p: F.array(*map(F.lit, p))
+    chips = counts.groupBy("stem").agg(labels.alias("labels"))
+    line = F.struct(pair(size).alias("size"), pair(stride).alias("stride"), F.create_map("stem", "labels").alias("nbroLabelPixels"))
+    chips.select(F.to_json(line).alias("value")).write.text(path)
