@@ -114,6 +114,14 @@ _SEG = f"{O.PATHS}, seg AS (SELECT path_id, seq, x ax, y ay, x + 300 bx, y + seq
 _T = "((600 - ax) * 300 - (300 - ay) * 0) / d"
 
 
+@query("""SELECT o_orderkey, CAST(sign((12 * o - ax) * (24 * o - ay) - (12 * o - ay) * (24 * o - ax)) AS INTEGER) turn
+FROM (SELECT o_orderkey, 9007199254740992::HUGEINT o, 4503599627370496 + o_orderkey % 256 ax, 4503599627370496 + o_custkey % 256 ay FROM orders)""")
+def orientation_exact(spark, sf):
+    """Points within a few last places of (0.5, 0.5) against the diagonal, where doubles often turn the wrong way."""
+    o = world.table(spark, sf, "orders").selectExpr("o_orderkey", "0.5D + o_orderkey % 256 * pow(2D, -53) ax", "0.5D + o_custkey % 256 * pow(2D, -53) ay")
+    return o.select("o_orderkey", G.orientation_exact("ax", "ay", 12.0, 12.0, 24.0, 24.0).cast("int").alias("turn"))
+
+
 @query(f"""WITH {_SEG}, rel AS (
   SELECT *, bx - ax rx, by_ - ay ry, 600 - ax qx, 300 - ay qy, (bx - ax) * 300 - (by_ - ay) * 0 d FROM seg
 ), tu AS (SELECT *, CASE WHEN d <> 0 THEN qx * (300 / d) - qy * (0 / d) END t, CASE WHEN d <> 0 THEN qx * (ry / d) - qy * (rx / d) END u FROM rel)

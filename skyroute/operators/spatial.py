@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyroute.functions import geometry as G
@@ -14,17 +14,35 @@ from skyroute.sources.staging import cut
 CELL = 100.0
 
 
+def _cells(x1: str, y1: str, x2: str, y2: str, side) -> Column:
+    """Cells of a grid with the given side that a box meets."""
+    rows = F.sequence(F.floor(F.col(y1) / side), F.floor(F.col(y2) / side))
+    columns = F.sequence(F.floor(F.col(x1) / side), F.floor(F.col(x2) / side))
+    return F.flatten(F.transform(columns, lambda cx: F.transform(rows, lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner", *, band: float = CELL) -> DataFrame:
     """Points (area, point_id, x, y) strictly inside a polygon.
 
     ``how``: inner gives (point_id, polygon_id) pairs; semi and anti give the points inside any, or none.
-    Each polygon edge lies in the bands of y it spans and each point in one band, so that an edge right of a point is
+    Each polygon lies in at most four cells of a grid as coarse as itself, and a point asks one cell of each such grid for the polygons whose box it is in.  It then
+    meets their edges only: these lie in the bands of y that they span and a point in one band, so that an edge right of a point is
     counted once; an odd count is inside.  Points on a boundary are not inside: corners and level edges exactly, others as far as doubles tell.
     """
-    edges = ring_edges(explode_vertices(polygons)).join(boxes(polygons), ["area", "polygon_id"])
+    b = boxes(polygons)
+    size = F.greatest(F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
+    b = b.where(size > 0).withColumn("level", F.ceil(F.log2(size)).cast("int"))
+    # a level is the exponent of a double, so there are few, however many polygons there are
+    levels = sorted(r.level for r in b.select("level").distinct().collect())
+    side = F.pow(F.lit(2.0), F.col("level"))
+    b = b.withColumn("cell", F.explode(_cells("min_x", "min_y", "max_x", "max_y", side)))
+    probes = points.select("area", "point_id", "x", "y").withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    probes = probes.withColumn("cell", F.struct(F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy")))
+    boxed = (F.col("x") > F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("y") > F.col("min_y")) & (F.col("y") < F.col("max_y"))
+    probes = probes.join(b, ["area", "level", "cell"]).where(boxed).select("area", "point_id", "polygon_id", "x", "y", F.floor(F.col("y") / band).alias("band"))
+    edges = ring_edges(explode_vertices(polygons))
     low, high = F.least("y1", "y2"), F.greatest("y1", "y2")
     edges = edges.withColumn("band", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
-    probes = points.select("area", "point_id", "x", "y", F.floor(F.col("y") / band).alias("band"))
     e = edges.drop("ring_idx", "vertex_idx")
     flat = F.col("y1") == F.col("y2")
     at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0))
@@ -33,8 +51,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, how: str = "inner
     beside = F.when(flat, F.col("x").between(F.least("x1", "x2"), F.greatest("x1", "x2"))).otherwise(at == F.col("x"))
     touching = at_end | (F.col("y").between(low, high) & beside)
     pairs = (
-        probes.join(e, ["area", "band"])
-        .where((F.col("x") > F.col("min_x")) & (F.col("x") < F.col("max_x")) & (F.col("y") > F.col("min_y")) & (F.col("y") < F.col("max_y")))
+        probes.join(e, ["area", "polygon_id", "band"])
         .where(crossing | touching)
         .groupBy("area", "point_id", "polygon_id")
         .agg(F.count(F.when(crossing, 1)).alias("n"), F.count(F.when(touching, 1)).alias("touching"))

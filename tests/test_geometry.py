@@ -144,3 +144,45 @@ def test_nodes_of_large_rings_have_ids_of_their_own(spark):
     big = spark.createDataFrame([(0, 10**9, [close(ring), close(hole)]), (0, 10**9 + 1, [close([(x + 5, y) for x, y in ring])])], schema)
     nodes = graph_nodes(big, big.selectExpr("area + 1 as area", "polygon_id", "rings"))
     assert nodes.count() == nodes.select("node_id").distinct().count() == 2 * 2404
+
+
+def test_orientation_without_rounding(spark):
+    import random
+    from fractions import Fraction
+
+    from skyroute.functions import geometry as G
+
+    rnd = random.Random(11)
+    rows = []
+    for k in range(3000):
+        ax, ay, dx, dy = (rnd.choice((rnd.uniform(-1, 1), rnd.uniform(-1e9, 1e9), rnd.uniform(-1e-6, 1e-6))) for _ in range(4))
+        t, u = rnd.uniform(-3, 3), rnd.uniform(-3, 3)
+        if k % 10 == 0:
+            t = u
+        rows.append((ax, ay, ax + t * dx, ay + t * dy, ax + u * dx, ay + u * dy))
+    rows += [(1.0, 1.0, 1.0, 1.0, 5.0, 7.0), (0.0, 0.0, 0.1, 0.1, 0.3, 0.3), (0.1, 0.1, 0.2, 0.2, 0.3, 0.3)]
+    df = spark.createDataFrame(rows, "ax double, ay double, bx double, by double, cx double, cy double")
+    args = ("ax", "ay", "bx", "by", "cx", "cy")
+    wrong = 0
+    for r in df.select("*", G.orientation_exact(*args).alias("exact"), G.orientation(*args).alias("plain")).collect():
+        ax, ay, bx, by, cx, cy = map(Fraction, r[:6])
+        det = (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
+        sign = (det > 0) - (det < 0)
+        assert r.exact == sign
+        wrong += r.plain != sign
+    assert wrong > 100
+    assert spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0, 1.0)], df.schema).select(G.orientation_exact(*args)).first()[0] is None
+
+
+def test_polygons_of_all_sizes_contain_points(spark):
+    import random
+
+    from skyroute.operators.spatial import points_in_polygons
+
+    rnd = random.Random(4)
+    square = lambda x, y, s: [{"x": a, "y": b} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+    boxes = [(k % 2, k, rnd.uniform(-900, 900), rnd.uniform(-900, 900), 2.0 ** rnd.uniform(-6, 12)) for k in range(150)]
+    polygons = spark.createDataFrame([(a, k, [square(x, y, s)]) for a, k, x, y, s in boxes], "area int, polygon_id long, rings array<array<struct<x:double,y:double>>>")
+    points = [(k % 2, k, rnd.uniform(-1000, 3000), rnd.uniform(-1000, 3000)) for k in range(300)] + [(a, 1000 + k, x + s / 2, y + s / 3) for a, k, x, y, s in boxes]
+    found = {tuple(r) for r in points_in_polygons(spark.createDataFrame(points, "area int, point_id long, x double, y double"), polygons).collect()}
+    assert found == {(p, k) for area, p, px, py in points for a, k, x, y, s in boxes if a == area and x < px < x + s and y < py < y + s}
