@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyroute.functions.projections import to_external
+from skyroute.sources.staging import shuffled
 
 
 def _points(ring: Column) -> Column:
@@ -54,7 +55,7 @@ def graph_features(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(value): a Point feature of each node and a LineString feature of each edge."""
     place = nodes.select("node_id", "x", "y")
     points = nodes.select(feature("Point", F.array("x", "y"), F.struct("node_id")).alias("value"))
-    ends = edges.join(place.toDF("src", "ax", "ay"), "src").join(place.toDF("dst", "bx", "by"), "dst")
+    ends = edges.join(shuffled(place.toDF("src", "ax", "ay")), "src").join(shuffled(place.toDF("dst", "bx", "by")), "dst")
     lines = ends.select(feature("LineString", F.array(F.array("ax", "ay"), F.array("bx", "by")), F.struct("src", "dst", "length")).alias("value"))
     return points.union(lines)
 
