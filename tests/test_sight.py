@@ -141,3 +141,13 @@ def test_twenty_thousand_nodes_in_one_area(spark):
         sees = set(np.flatnonzero(_sees(places[n], places, squares)).tolist()) - {n}
         found = {r.a_node_id + r.b_node_id - n for r in pairs.where(f"a_node_id = {n} or b_node_id = {n}").collect()}
         assert sees <= found
+
+
+def test_ways_behind_a_near_wall_are_not_made(spark, monkeypatch):
+    """Candidates are tested against the walls of their own ring, too; tiles of many nodes are dealt to parts without loss."""
+    walls, _ = _walls(spark, [(10, -10, 20, 0)])
+    points = {1: (0.0, 0.0), 2: (40.0, 0.0), 3: (40.0, 80.0)}
+    nodes = spark.createDataFrame([(0, n, x, y) for n, (x, y) in points.items()], "area int, node_id long, x double, y double")
+    for most in (sight.MOST, 1):
+        monkeypatch.setattr(sight, "MOST", most)
+        assert {(r.a_node_id, r.b_node_id) for r in sight.open_pairs(nodes, nodes, walls).where("a_node_id < b_node_id").collect()} == {(1, 3), (2, 3)}
