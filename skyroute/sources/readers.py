@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from skyroute.functions import ring_arrays
 from skyroute.operators.vertices import normalize_winding
+from skyroute.sources.staging import cut, spread
 
 RINGS = "array<array<struct<x:double,y:double>>>"
 
@@ -139,13 +140,13 @@ RECEIPT_SHEET = "store string, link string, price double, paid double, fees doub
 def read_parts_sheet(spark: SparkSession, path: str, schema: str, sep: str = ",") -> tuple[DataFrame, DataFrame]:
     """(lines, printed) of sheets with a header: the lines with their file as ``sheet``, and the line of totals that each sheet has.
 
-    A line without anything in it is no line; the printed one is that whose first column is ``Total``, whatever its case.
+    A line without anything in it is no line; the printed one is that whose first column is ``Total``, whatever its case.  Files are read once, however short.
     """
     rows = spark.read.schema(schema).csv(path, header=True, sep=sep, escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, enforceSchema=True)
     names = [f.name for f in rows.schema.fields]
     names = names[: len(schema.split(","))]  # folders named key=value add columns
     empty = F.coalesce(*(F.nullif(F.col(c).cast("string"), F.lit("")) for c in names)).isNull()
-    rows = rows.select(F.col("_metadata.file_path").alias("sheet"), *names).where(~empty)
+    rows = cut(rows.select(F.col("_metadata.file_path").alias("sheet"), *names).where(~empty), "sheet-lines", many_files=True)
     total = F.lower(F.coalesce(F.col(names[0]), F.lit(""))) == "total"
     return rows.where(~total), rows.where(total)
 
