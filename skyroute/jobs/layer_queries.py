@@ -258,8 +258,7 @@ def write_class_collection(spark, sf):
     p = world.obstacles(spark, sf, raw=True).select("polygon_id", rings.alias("rings"), F.concat(F.lit("building-"), F.col("polygon_id").cast("string")).alias("class"))
     path = scratch(spark, "map") + ".geojson"
     collection.write_collection(writers.class_features(writers.rings_in_degrees(p), "class"), path)
-    shape = "type string, features array<struct<properties:struct<type:string>,geometry:struct<type:string,coordinates:array<array<array<double>>>>>>"
-    back = spark.read.schema(shape).json(path, multiLine=True).where("type = 'FeatureCollection'").select(F.explode("features").alias("f"))
+    back = readers.read_collection(spark, path, "properties struct<type:string>, geometry struct<type:string,coordinates:array<array<array<double>>>>")
     name = F.split("f.properties.type", "-")
     corners = back.select(name[1].cast("long").alias("polygon_id"), name[0].alias("type"), F.posexplode("f.geometry.coordinates").alias("ring_idx", "ring"))
     corners = corners.select("polygon_id", "type", "ring_idx", F.posexplode("ring").alias("i", "c"))

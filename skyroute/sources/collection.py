@@ -30,6 +30,11 @@ class CollectionWriter(DataSourceWriter):
     def __init__(self, path: str):
         self.path, self.parts = path, f"{path}.parts-{uuid.uuid4().hex}"
 
+    def prepare(self) -> None:
+        """The parts' folder, made before any task: one that goes on after an abort does not bring it back."""
+        store, root = _place(self.parts)
+        store.create_dir(root, recursive=True)
+
     def write(self, iterator) -> Part:
         """The task's features, one line each; an attempt that fails leaves a file that no message names."""
         partition, out, name = TaskContext.get().partitionId(), None, None
@@ -37,7 +42,6 @@ class CollectionWriter(DataSourceWriter):
             for row in iterator:
                 if out is None:
                     store, root = _place(self.parts)
-                    store.create_dir(root, recursive=True)
                     name = f"{partition:08d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(f"{root}/{name}")
                 else:
@@ -73,8 +77,14 @@ class CollectionWriter(DataSourceWriter):
     def _clear(store, root: str) -> None:
         from pyarrow import fs
 
-        if store.get_file_info(root).type == fs.FileType.Directory:
-            store.delete_dir(root)
+        for last in (False, False, False, True):  # tasks that are not told yet may add a file meanwhile
+            if store.get_file_info(root).type != fs.FileType.Directory:
+                return
+            try:
+                return store.delete_dir(root)
+            except OSError:
+                if last:
+                    raise
 
 
 class CollectionSource(DataSource):
@@ -83,7 +93,9 @@ class CollectionSource(DataSource):
         return "feature_collection"
 
     def writer(self, schema, overwrite: bool) -> CollectionWriter:
-        return CollectionWriter(self.options["path"])
+        made = CollectionWriter(self.options["path"])
+        made.prepare()
+        return made
 
 
 def write_collection(features: DataFrame, path: str) -> None:

@@ -157,6 +157,19 @@ def read_parts_sheet(spark: SparkSession, path: str, schema: str, sep: str = ","
 def encode_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
     """A MultiPolygon of one polygon."""
     body = b"".join(struct.pack("<I", len(r)) + np.asarray(r, dtype="<f8").tobytes() for r in rings)
+def read_collection(spark: SparkSession, path: str, feature: str) -> DataFrame:
+    """(f): the features, of the given schema, of a FeatureCollection that has each in a line of its own, as ``collection.write_collection`` lays it out.
+
+    Lines are dealt to tasks, so that a file of any size is read by many.  A line that is neither a feature nor the collection's head or end is an error.
+    """
+    line = F.regexp_replace(F.trim("value"), ",$", "")
+    frame = line.isin("", '{"type":"FeatureCollection","features":[', "]}")
+    error = F.raise_error(F.concat(F.lit("no line of a feature: "), F.substring(line, 1, 80))).cast("string")
+    # in one expression, as Spark may try another filter before one for the frame
+    sure = F.when(F.get_json_object(line, "$.type") == "Feature", line).when(~frame, error)
+    return spark.read.text(path).select(F.from_json(sure, feature, {"mode": "FAILFAST"}).alias("f")).where("f is not null")
+
+
     return struct.pack("<BII", 1, 6, 1) + struct.pack("<BII", 1, 3, len(rings)) + body
 
 
