@@ -185,7 +185,7 @@ def read_pairs(spark, sf):
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["stem"])
 
     d, labels = world.table(spark, sf, "documents"), world.table(spark, sf, "labels").select("doc_id", "quality")
-    rows = d.where("source is not null").join(labels, "doc_id", "left").selectExpr("concat(source, '-', doc_id) stem", "encode(coalesce(text, ''), 'UTF-8') images", "encode(string(quality), 'UTF-8') masks")
+    rows = spread(d.where("source is not null"), "doc_id").join(shuffled(labels), "doc_id", "left").selectExpr("concat(source, '-', doc_id) stem", "encode(coalesce(text, ''), 'UTF-8') images", "encode(string(quality), 'UTF-8') masks")
     rows.mapInArrow(write, "stem string").write.parquet(scratch(spark, "stems"))
     pairs, mismatches = readers.read_pairs(spark, f"{folder}/images", f"{folder}/masks")
     left = mismatches.select("stem", F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("label_mask"), F.lit(False).alias("paired"))

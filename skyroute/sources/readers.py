@@ -111,7 +111,7 @@ def read_pairs(spark: SparkSession, images: str, masks: str) -> tuple[DataFrame,
     the other side has for it is a mismatch.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    listed = lambda p: spark.read.format("binaryFile").load(p).select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.col("path").alias("content"))
+    listed = lambda p: cut(spark.read.format("binaryFile").load(p).select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.col("path").alias("content")), "names", many_files=True)
     paths, mismatches = pair_examples(listed(images), listed(masks))
 
     def run(batches):
@@ -124,11 +124,17 @@ def read_pairs(spark: SparkSession, images: str, masks: str) -> tuple[DataFrame,
 
         kinds = pa.schema([("stem", pa.string()), ("image", pa.binary()), ("label_mask", pa.binary())])
         for batch in batches:
+            rows, size = [], 0
             for row in batch.to_pylist():  # a batch of paths is short, one of contents may not be
-                yield pa.RecordBatch.from_pylist([{"stem": row["stem"], "image": content(row["image"]), "label_mask": content(row["label_mask"])}], kinds)
+                rows.append({"stem": row["stem"], "image": content(row["image"]), "label_mask": content(row["label_mask"])})
+                size += len(rows[-1]["image"]) + len(rows[-1]["label_mask"])
+                if size > 1 << 20:
+                    yield pa.RecordBatch.from_pylist(rows, kinds)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    spread = paths.select("stem", "image", "label_mask").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stem")
-    return spread.mapInArrow(run, "stem string, image binary, label_mask binary"), mismatches
+    return spread(paths.select("stem", "image", "label_mask"), "stem").mapInArrow(run, "stem string, image binary, label_mask binary"), mismatches
 
 
 #: Columns of the three parts sheets in their order, under the names that ``design.parts_rollup`` and ``design.store_costs`` take.
@@ -151,12 +157,6 @@ def read_parts_sheet(spark: SparkSession, path: str, schema: str, sep: str = ","
     return rows.where(~total), rows.where(total)
 
 
-# ----------------------------------------------------------------------------------------------- well-known binary
-
-
-def encode_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
-    """A MultiPolygon of one polygon."""
-    body = b"".join(struct.pack("<I", len(r)) + np.asarray(r, dtype="<f8").tobytes() for r in rings)
 def read_collection(spark: SparkSession, path: str, feature: str) -> DataFrame:
     """(f): the features, of the given schema, of a FeatureCollection that has each in a line of its own, as ``collection.write_collection`` lays it out.
 
@@ -170,6 +170,12 @@ def read_collection(spark: SparkSession, path: str, feature: str) -> DataFrame:
     return spark.read.text(path).select(F.from_json(sure, feature, {"mode": "FAILFAST"}).alias("f")).where("f is not null")
 
 
+# ----------------------------------------------------------------------------------------------- well-known binary
+
+
+def encode_wkb(rings: list[list[tuple[float, float]]]) -> bytes:
+    """A MultiPolygon of one polygon."""
+    body = b"".join(struct.pack("<I", len(r)) + np.asarray(r, dtype="<f8").tobytes() for r in rings)
     return struct.pack("<BII", 1, 6, 1) + struct.pack("<BII", 1, 3, len(rings)) + body
 
 
