@@ -166,30 +166,48 @@ def write_examples(spark, sf):
 @query("""SELECT d.source || '-' || d.doc_id AS stem, CASE WHEN quality IS NOT NULL THEN md5(coalesce(d.text, '')) END image, md5(CAST(quality AS VARCHAR)) label_mask, quality IS NOT NULL AS paired
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.source IS NOT NULL""")
 def read_pairs(spark, sf):
-    """Texts of documents as images and their labels as masks, each a file that a task writes, paired by name; documents without label are mismatches."""
+    """Texts of documents as images and their labels as masks, each a file that a task writes, paired by name; documents without label are mismatches.
+
+    A folder holds about 4,096 files, whatever their number.  Rows of one id are written by one task, which numbers them, so that each has a file, and a task that is run again writes the same ones.
+    """
+    import uuid
+
     import pyarrow as pa
     from pyarrow import fs
 
     folder = scratch(spark, "pairs")
+    store, root = fs.FileSystem.from_uri(folder)
+    for side in ("images", "masks"):  # a side may have no file
+        store.create_dir(f"{root}/{side}", recursive=True)
 
     def write(batches):
+        store, made, times = fs.FileSystem.from_uri(folder)[0], set(), {}
         for batch in batches:
-            store, root = fs.FileSystem.from_uri(folder)
-            for side in ("images", "masks"):
-                store.create_dir(f"{root}/{side}", recursive=True)
             for row in batch.to_pylist():
-                for side, end in (("images", "jpg"), ("masks", "png")):
-                    if row[side] is not None:
-                        with store.open_output_stream(f"{root}/{side}/{row['stem']}.{end}") as f:
-                            f.write(row[side])
+                name = f"{row['side']}/{row['stem']}"
+                times[name] = times.get(name, -1) + 1
+                place = f"{root}/{row['side']}/{row['part']}-{times[name]}"
+                if place not in made:
+                    store.create_dir(place, recursive=True)
+                    made.add(place)
+                # hidden until it is whole
+                with store.open_output_stream(temporary := f"{place}/.{uuid.uuid4().hex}", compression=None) as f:
+                    f.write(row["content"])
+                store.move(temporary, f"{place}/{row['stem']}.{'jpg' if row['side'] == 'images' else 'png'}")
             yield pa.RecordBatch.from_arrays([batch.column(0)], names=["stem"])
 
-    d, labels = world.table(spark, sf, "documents"), world.table(spark, sf, "labels").select("doc_id", "quality")
-    rows = spread(d.where("source is not null"), "doc_id").join(shuffled(labels), "doc_id", "left").selectExpr("concat(source, '-', doc_id) stem", "encode(coalesce(text, ''), 'UTF-8') images", "encode(string(quality), 'UTF-8') masks")
-    rows.mapInArrow(write, "stem string").write.parquet(scratch(spark, "stems"))
-    pairs, mismatches = readers.read_pairs(spark, f"{folder}/images", f"{folder}/masks")
+    d, labels = world.table(spark, sf, "documents").where("source is not null"), world.table(spark, sf, "labels").where("quality is not null")
+    parts = -(-d.count() // 4096) or 1
+    # a name without anything that a path, a pattern or a hidden file would be known by
+    name = F.replace(F.replace(F.url_encode(F.concat("source", F.lit("-"), F.col("doc_id"))), F.lit("."), F.lit("%2E")), F.lit("_"), F.lit("%5F"))
+    file = lambda side, content: [name.alias("stem"), F.lit(side).alias("side"), F.pmod(F.xxhash64("doc_id"), F.lit(parts)).alias("part"), F.expr(content).alias("content")]
+    images = spread(d, "doc_id").select(*file("images", "encode(coalesce(text, ''), 'UTF-8')"))
+    masks = spread(labels.select("doc_id", "quality").join(shuffled(d.select("doc_id", "source").distinct()), "doc_id"), "doc_id").select(*file("masks", "encode(string(quality), 'UTF-8')"))
+    images.union(masks).mapInArrow(write, "stem string").write.parquet(scratch(spark, "stems"))
+    pairs, mismatches = readers.read_pairs(spark, f"{folder}/images/*", f"{folder}/masks/*", empty=True)
     left = mismatches.select("stem", F.lit(None).cast("string").alias("image"), F.lit(None).cast("string").alias("label_mask"), F.lit(False).alias("paired"))
-    return pairs.select("stem", F.md5("image").alias("image"), F.md5("label_mask").alias("label_mask"), F.lit(True).alias("paired")).union(left)
+    both = pairs.select("stem", F.md5("image").alias("image"), F.md5("label_mask").alias("label_mask"), F.lit(True).alias("paired")).union(left)
+    return both.withColumn("stem", F.url_decode("stem"))
 
 
 @query("""WITH h AS (SELECT CAST(user_id AS VARCHAR) run, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) epoch, value FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)

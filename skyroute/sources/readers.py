@@ -5,8 +5,10 @@ JSON readers take one document per line, or one per file with ``multi_line``.
 
 from __future__ import annotations
 
+import re
 import struct
 import zipfile
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -103,31 +105,107 @@ def pair_examples(images: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataF
     return pairs, mismatches
 
 
-def read_pairs(spark: SparkSession, images: str, masks: str) -> tuple[DataFrame, DataFrame]:
+_GLOB = re.compile(r"[*?\[{]")
+#: A file or folder of a listing: where it is in its store.
+_LISTED = "path string, size long, folder boolean"
+
+
+def _component(pattern: str) -> re.Pattern:
+    """A part of a path with ``*``, ``?``, ``[..]`` and ``{.., ..}`` as a regular expression."""
+    out, depth, k = "", 0, 0
+    while k < len(pattern):
+        c, end = pattern[k], pattern.find("]", k + 2)
+        if c == "[" and end > 0:
+            out += "[" + re.sub(r"^[!^]", "^", pattern[k + 1 : end]).replace("\\", "\\\\") + "]"
+            k = end
+        elif c in "{}" or (c == "," and depth):
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            out += {"{": "(?:", "}": ")", ",": "|"}[c]
+        else:
+            out += {"*": ".*", "?": "."}.get(c, re.escape(c))
+        k += 1
+    return re.compile(out, re.DOTALL)
+
+
+def listed_files(spark: SparkSession, uri: str) -> DataFrame:
+    """(path, size) of the files of a folder or pattern, by ``pyarrow.fs``: folders are listed by tasks, level by level, so that the driver holds no list of them.
+
+    As in Spark's own sources, names that begin with a dot or an underscore are hidden, a folder's files are those right in it and in folders named
+    key=value, and a pattern's are the files that it fits and those of the folders that it fits.  Empty files are among them.
+    """
+    parts = uri.rstrip("/").split("/")
+    first = next((k for k, part in enumerate(parts) if _GLOB.search(part)), len(parts))
+    base, rest = "/".join(parts[:first]), parts[first:]
+
+    def children(name: str | None, last: bool):
+        wanted = _component(name) if name is not None else None
+
+        def run(batches):
+            from pyarrow import fs
+
+            store, root = fs.FileSystem.from_uri(base)
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    own = store.get_file_info(path if path is not None else root)
+                    if own.type == fs.FileType.NotFound:
+                        raise FileNotFoundError(own.path)
+                    found = [own] if own.type == fs.FileType.File else store.get_file_info(fs.FileSelector(own.path))
+                    rows = []
+                    for f in found:
+                        folder, shown = f.type == fs.FileType.Directory, "=" in f.base_name or f.base_name[:1] != "_"
+                        fits = wanted.fullmatch(f.base_name) if wanted else not folder or "=" in f.base_name
+                        if fits and shown and f.base_name[:1] != "." and (folder or last):
+                            rows.append({"path": f.path, "size": f.size, "folder": folder})
+                    for k in range(0, len(rows), 10_000):
+                        yield pa.RecordBatch.from_pylist(rows[k : k + 10_000], schema)
+
+        return run
+
+    schema = pa.schema([("path", pa.string()), ("size", pa.int64()), ("folder", pa.bool_())])
+    here, found = spark.createDataFrame([(None,)], "path string"), []
+    for k, name in enumerate(rest):
+        last = k == len(rest) - 1
+        here = cut(here.select("path").mapInArrow(children(name, last), _LISTED), "folders")
+        if last:
+            found, here = [here.where("not folder")], here.where("folder")
+            if not here.limit(1).count():
+                return found[0].select("path", "size")
+        here = spread(here, "path")
+    while True:
+        names = cut(here.select("path").mapInArrow(children(None, True), _LISTED), "names")
+        found.append(names.where("not folder"))
+        here = spread(names.where("folder"), "path")
+        if not here.limit(1).count():
+            return reduce(DataFrame.union, found).select("path", "size")
+
+
+def read_pairs(spark: SparkSession, images: str, masks: str, *, empty: bool = False) -> tuple[DataFrame, DataFrame]:
     """(pairs, mismatches) of the files of two folders or patterns: (stem, image, label_mask), and stems that only one side has.
 
-    Names are paired before any file is read, so that contents are never shuffled: each task opens its pairs by ``pyarrow.fs``.  A stem is the name
+    Names are listed by tasks and paired before any file is read, so that contents are never shuffled: each task opens its pairs by ``pyarrow.fs``.  A stem is the name
     without its last extension; where a side has a stem more than once, every file of it is paired.  An empty file counts as none: what
-    the other side has for it is a mismatch.
+    the other side has for it is a mismatch.  With ``empty``, it counts as a file like others.
     """
     name = F.element_at(F.split("path", "/"), -1)
-    listed = lambda p: cut(spark.read.format("binaryFile").load(p).select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.col("path").alias("content")), "names", many_files=True)
+    listed = lambda p: listed_files(spark, p).where(F.lit(empty) | (F.col("size") > 0)).select(F.regexp_replace(name, r"(?<=.)\.[^.]*$", "").alias("stem"), F.col("path").alias("content"))
     paths, mismatches = pair_examples(listed(images), listed(masks))
+    folders = {"image": _GLOB.split(images)[0], "label_mask": _GLOB.split(masks)[0]}
 
     def run(batches):
         from pyarrow import fs
 
-        def content(path: str) -> bytes:
-            store, place = fs.FileSystem.from_uri(path)
-            with store.open_input_stream(place) as f:
+        stores = {side: fs.FileSystem.from_uri(folder)[0] for side, folder in folders.items()}
+
+        def content(side: str, path: str) -> bytes:
+            with stores[side].open_input_stream(path, compression=None) as f:
                 return f.read()
 
         kinds = pa.schema([("stem", pa.string()), ("image", pa.binary()), ("label_mask", pa.binary())])
         for batch in batches:
             rows, size = [], 0
             for row in batch.to_pylist():  # a batch of paths is short, one of contents may not be
-                rows.append({"stem": row["stem"], "image": content(row["image"]), "label_mask": content(row["label_mask"])})
-                size += len(rows[-1]["image"]) + len(rows[-1]["label_mask"])
+                rows.append({"stem": row["stem"], **{side: content(side, row[side]) for side in stores}})
+                size += sum(len(rows[-1][side]) for side in stores)
                 if size > 1 << 20:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
                     rows, size = [], 0
